@@ -13,10 +13,12 @@ Steps, each a distributed table:
    with the concentration of independent samples.
 2. copies: documents of one set collapse to the smallest id (128-bit set fingerprint, pre-aggregated).
 3. banding: ``BANDS`` bands of ``ROWS`` coordinates; a pair at 0.8 shares no band with chance 7e-6.
-4. verification in rounds: in each bucket the members outside its largest known component are tested with
-   one pivot of that component; what is linked needs no further test. Rounds end when few cross-component
-   pairs are left, then every such pair that was not tested yet is tested. No cap, no dropped pair: every
-   pair of a bucket is tested, or both its members are known to be connected already.
+4. verification: in each bucket all members are tested with one pivot, the smallest id, which joins most
+   copies at once. Then buckets that still hold several components are cut into tiles; a tile compares the
+   sketches of members of different components. Only pairs that agree in fewer than ``AGREE`` of the
+   coordinates, 4.5 standard deviations below what 0.8 gives, are left out (chance 4e-6 for a pair at
+   0.8); the others are tested, each in the first band it shares, the most similar first, unless tests of
+   the same tile have connected them by then. No cap on members, candidates or pairs.
 5. components by alternating large-star and small-star steps over the confirmed links.
 
 Nulls and ties: a null or blank text has an empty set; rows with a null id are returned with a null
@@ -36,9 +38,10 @@ from textgauge.llm.common import mix, saved, texts_of
 ROWS = 5
 BANDS = 30
 SKETCH = ROWS * BANDS
-#: Pivot rounds go on while more than this many untested pairs a representative are left.
-PAIRS_PER_DOC = 2.0
-MAX_PIVOT_ROUNDS = 8
+#: Sketch coordinates that a pair must share to be tested beyond the pivots.
+AGREE = 98
+#: Members of a bucket in a tile.
+TILE = 1024
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -140,8 +143,10 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id on a link: the smallest id it is connected with."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-edges")
-    before = None
     while True:
+        n, n_ids = edges.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == n_ids and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break  # stars around their smallest ids
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -149,23 +154,100 @@ def components(links: DataFrame) -> DataFrame:
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _labelled(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members of buckets with the component known so far, without buckets of one component only."""
-    if found is None:
-        out = members.withColumn("label", F.col("id"))
-    else:
-        out = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    out = saved(out, "neardup-members")
-    mixed = saved(out.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "neardup-mixed")
-    return saved(out.join(mixed, "bucket"), "neardup-open")
+def _described(k: int):
+    """Set, short sketch and band keys of single texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_hashes(t.lower().split(), k) for t in texts_of(batch.column(1))]
+            full = sketches(sets)
+            keys = band_keys(full)
+            short = (full & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in short], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())], ["id", "shingles", "short", "keys"])
+
+    return run
+
+
+def _rows(column, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _close_pairs(key, left):
+    """Pairs of a tile whose sketches agree enough, in the first band they share."""
+    import pyarrow as pa
+
+    bucket, i, j = (x.as_py() for x in key)
+    side, ids, label = left["tile"].to_numpy(), left["id"].to_numpy(), left["label"].to_numpy()
+    short, keys = _rows(left["short"], np.uint16, SKETCH), _rows(left["keys"], np.int64, BANDS)
+    band = (keys == bucket).argmax(axis=1)
+    rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    a, b, agree = [], [], []
+    for x in rows:
+        ys = columns[(label[columns] != label[x]) & (ids[columns] > ids[x] if i == j else True)]
+        if len(ys):
+            n = (short[ys] == short[x]).sum(axis=1)
+            ys, n = ys[n >= AGREE], n[n >= AGREE]
+            first = (keys[ys] == keys[x]).argmax(axis=1) == band[x]
+            ys, n = ys[first], n[first]
+            a.append(np.full(len(ys), ids[x]))
+            b.append(ids[ys])
+            agree.append(n)
+    a, b, agree = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, agree))
+    same = {"bucket": pa.array(np.full(len(a), bucket)), "i": pa.array(np.full(len(a), i, np.int32)), "j": pa.array(np.full(len(a), j, np.int32))}
+    return pa.table(same | {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(agree, pa.int64())})
+
+
+def _tested(percent: int):
+    def run(pairs, members):
+        import pyarrow as pa
+
+        sets = {i: frozenset(np.frombuffer(s, np.uint64).tolist()) for i, s in zip(members["id"].to_pylist(), members["shingles"].to_pylist())}
+        parent = {i: i for i in sets}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        agree = pairs["agree"].to_numpy()
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        for n in np.argsort(-agree, kind="stable").tolist():
+            x, y = int(a[n]), int(b[n])
+            if root(x) == root(y):
+                continue
+            s, t = sets[x], sets[y]
+            both = len(s & t)
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                parent[root(x)] = root(y)
+                found.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
+def _tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (bucket, id, label) of different components within a bucket."""
+    needed = members.select("id").distinct()
+    about = saved(docs.filter("text is not null").join(needed, "id", "left_semi").mapInArrow(_described(k), "id long, shingles binary, short binary, keys binary"), "neardup-described")
+    sizes = saved(members.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "neardup-tiles")
+    placed = members.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = placed.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "label")
+    rows = placed.join(about.select("id", "short", "keys"), "id")
+    close = rows.groupBy("bucket", "i", "j").applyInArrow(_close_pairs, "bucket long, i int, j int, a long, b long, agree long")
+    close = saved(close, "neardup-close")
+    ends = close.select("bucket", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
+    with_sets = ends.join(about.select("id", "shingles"), "id").toDF("id", "on_bucket", "on_i", "on_j", "shingles")
+    tested = close.groupBy("bucket", "i", "j").cogroup(with_sets.groupBy("on_bucket", "on_i", "on_j")).applyInArrow(_tested(percent), "a long, b long")
+    return saved(tested, "neardup-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,46 +257,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     some = sketched.filter("id is not null and mark is not null")
     reps = saved(some.groupBy("mark").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "neardup-reps")
     spread = saved(reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct(), "neardup-buckets")
-    shared = saved(spread.groupBy("bucket").count().filter("count > 1").select("bucket"), "neardup-shared")
-    members = saved(spread.join(shared, "bucket"), "neardup-candidates")
-    n_reps = reps.count()
-    n_members = members.count()
-
-    tested = links = found = None
-    rounds = 0
-    open_members = _labelled(members, None) if n_members else members
-    while n_members:
-        sizes = saved(open_members.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64(F.col("id"), F.lit(rounds)).alias("h"), F.col("id").alias("p"))).alias("pick")), "neardup-sizes")
-        most = sizes.groupBy("bucket").agg(F.max(F.struct("c", -F.col("label"), F.col("pick.p").alias("p"))).alias("top"), F.sum("c").alias("m"))
-        most = saved(most.select("bucket", (-F.col("top.col2")).alias("main"), F.col("top.p").alias("p"), (F.col("m") - F.col("top.c")).alias("rest"), "m"), "neardup-most")
-        left = most.agg(F.sum(F.col("rest").cast("double") * F.col("m"))).first()[0] or 0.0
-        if left == 0.0:
-            break
-        last = rounds >= MAX_PIVOT_ROUNDS or (rounds > 0 and left <= PAIRS_PER_DOC * n_reps)
-        minor = open_members.join(most, "bucket").filter("label <> main")
-        if last:
-            mine = minor.select("bucket", F.col("id").alias("x"), F.col("label").alias("lx"))
-            pairs = mine.join(open_members.select("bucket", F.col("id").alias("y"), F.col("label").alias("ly")), "bucket").filter("lx <> ly")
-        else:
-            pairs = minor.select(F.col("id").alias("x"), F.col("p").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "neardup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _links(pairs, docs, k, percent)
-        links = new if links is None else links.unionByName(new)
-        found = saved(components(links), "neardup-components")
-        if last:
-            break
-        rounds += 1
-        open_members = _labelled(open_members.select("bucket", "id"), found)
+    shared = saved(spread.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).filter("m > 1"), "neardup-shared")
+    members = saved(spread.join(shared, "bucket"), "neardup-members")
+    pairs = saved(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "neardup-pairs")
+    links = _links(pairs, docs, k, percent)
+    found = saved(components(links), "neardup-components")
+    # Buckets of two are tested by now; of the others, those of several components are open.
+    labelled = members.filter("m > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    labelled = saved(labelled, "neardup-labelled")
+    mixed = saved(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "neardup-mixed")
+    more = _tile_links(saved(labelled.join(mixed, "bucket"), "neardup-open"), docs, k, percent)
+    if not more.isEmpty():
+        found = saved(components(links.unionByName(more)), "neardup-components")
 
     named = reps.select("mark", "rep")
-    if found is not None:
-        named = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    else:
-        named = named.select("mark", F.col("rep").alias("component"))
+    named = named.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
     named = saved(named, "neardup-named")
     out = sketched.select("id", "n", "mark").join(named, "mark", "left")
     return out.select(
