@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textgauge.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textgauge.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +38,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files at source/lang/<hundreds of the id>/<id>.txt."""
+    from textgauge.llm.licenses import scan_licenses
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), F.concat(F.col("doc_id"), F.lit(".txt")))
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text"), id_col="doc_id").withColumnRenamed("file_id", "doc_id")
+
+
 def op6_block_matrix_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textgauge.llm.nearest import nearest
 
