@@ -42,6 +42,8 @@ SKETCH = ROWS * BANDS
 AGREE = 98
 #: Members of a bucket in a tile.
 TILE = 1024
+#: Bits of the filter of ids whose texts are needed again.
+FILTER_BITS = 1 << 26
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -133,7 +135,7 @@ def _confirm(k: int, percent: int):
 
 def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough."""
-    text = docs.filter("text is not null")
+    text = saved(docs, "neardup-texts")
     left = text.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = text.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
@@ -178,13 +180,12 @@ def _rows(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _close_pairs(key, left):
-    """Pairs of a tile whose sketches agree enough, in the first band they share."""
-    import pyarrow as pa
-
+def _pairs(key, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of a tile's pairs of different components whose sketches agree enough, in the first band they
+    share, and in how many coordinates they agree."""
     bucket, i, j = (x.as_py() for x in key)
-    side, ids, label = left["tile"].to_numpy(), left["id"].to_numpy(), left["label"].to_numpy()
-    short, keys = _rows(left["short"], np.uint16, SKETCH), _rows(left["keys"], np.int64, BANDS)
+    side, ids, label = table["tile"].to_numpy(), table["id"].to_numpy(), table["label"].to_numpy()
+    short, keys = _rows(table["short"], np.uint16, SKETCH), _rows(table["keys"], np.int64, BANDS)
     band = (keys == bucket).argmax(axis=1)
     rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)
     a, b, agree = [], [], []
@@ -194,21 +195,24 @@ def _close_pairs(key, left):
             n = (short[ys] == short[x]).sum(axis=1)
             ys, n = ys[n >= AGREE], n[n >= AGREE]
             first = (keys[ys] == keys[x]).argmax(axis=1) == band[x]
-            ys, n = ys[first], n[first]
-            a.append(np.full(len(ys), ids[x]))
-            b.append(ids[ys])
-            agree.append(n)
-    a, b, agree = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, agree))
-    same = {"bucket": pa.array(np.full(len(a), bucket)), "i": pa.array(np.full(len(a), i, np.int32)), "j": pa.array(np.full(len(a), j, np.int32))}
-    return pa.table(same | {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(agree, pa.int64())})
+            a.append(np.full(first.sum(), x))
+            b.append(ys[first])
+            agree.append(n[first])
+    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, agree))
+
+
+def _close(key, table):
+    """The members of a tile that are in some pair."""
+    a, b, _ = _pairs(key, table)
+    return table.select(["bucket", "i", "j", "tile", "id", "label"]).take(np.unique(np.concatenate([a, b])))
 
 
 def _tested(percent: int):
-    def run(pairs, members):
+    def run(key, table):
         import pyarrow as pa
 
-        sets = {i: frozenset(np.frombuffer(s, np.uint64).tolist()) for i, s in zip(members["id"].to_pylist(), members["shingles"].to_pylist())}
-        parent = {i: i for i in sets}
+        sets = [frozenset(np.frombuffer(s, np.uint64).tolist()) for s in table["shingles"].to_pylist()]
+        parent = list(range(len(sets)))
 
         def root(x):
             while parent[x] != x:
@@ -217,36 +221,56 @@ def _tested(percent: int):
             return x
 
         found = []
-        agree = pairs["agree"].to_numpy()
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        a, b, agree = _pairs(key, table)
         for n in np.argsort(-agree, kind="stable").tolist():
             x, y = int(a[n]), int(b[n])
             if root(x) == root(y):
                 continue
-            s, t = sets[x], sets[y]
-            both = len(s & t)
-            if 100 * both >= percent * (len(s) + len(t) - both):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 parent[root(x)] = root(y)
                 found.append((x, y))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        ids = table["id"].to_numpy()
+        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
     return run
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that have one of the ids, and a few others: a bitmap of fixed size, ``FILTER_BITS`` at any
+    number of ids, drops most of the rest before their texts are dealt out."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    parts = ids.select(place.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in parts.collect():
+        bitmap[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    # bit 0 of bucket 1 stands for 1: positions follow from the same functions as the bitmaps
+    at = docs.withColumn("h", place).selectExpr("id", "text", "CAST((bitmap_bucket_number(h) - 1) * 32768 + bitmap_bit_position(h) AS BIGINT) AS h")
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = shared.value
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            keep = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return at.filter("id is not null and text is not null").mapInArrow(run, "id long, text string")
+
+
 def _tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members (bucket, id, label) of different components within a bucket."""
-    needed = members.select("id").distinct()
-    about = saved(docs.filter("text is not null").join(needed, "id", "left_semi").mapInArrow(_described(k), "id long, shingles binary, short binary, keys binary"), "neardup-described")
+    about = saved(_only(docs, members.select("id").distinct()).mapInArrow(_described(k), "id long, shingles binary, short binary, keys binary"), "neardup-described")
     sizes = saved(members.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "neardup-tiles")
     placed = members.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "label")
     rows = placed.join(about.select("id", "short", "keys"), "id")
-    close = rows.groupBy("bucket", "i", "j").applyInArrow(_close_pairs, "bucket long, i int, j int, a long, b long, agree long")
+    close = rows.groupBy("bucket", "i", "j").applyInArrow(_close, "bucket long, i int, j int, tile int, id long, label long")
     close = saved(close, "neardup-close")
-    ends = close.select("bucket", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct()
-    with_sets = ends.join(about.select("id", "shingles"), "id").toDF("id", "on_bucket", "on_i", "on_j", "shingles")
-    tested = close.groupBy("bucket", "i", "j").cogroup(with_sets.groupBy("on_bucket", "on_i", "on_j")).applyInArrow(_tested(percent), "a long, b long")
+    tested = close.join(about, "id").groupBy("bucket", "i", "j").applyInArrow(_tested(percent), "a long, b long")
     return saved(tested, "neardup-links")
 
 
@@ -260,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     shared = saved(spread.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).filter("m > 1"), "neardup-shared")
     members = saved(spread.join(shared, "bucket"), "neardup-members")
     pairs = saved(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "neardup-pairs")
-    links = _links(pairs, docs, k, percent)
+    links = _links(pairs, _only(docs, members.select("id").distinct()), k, percent)
     found = saved(components(links), "neardup-components")
     # Buckets of two are tested by now; of the others, those of several components are open.
     labelled = members.filter("m > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
