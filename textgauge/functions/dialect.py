@@ -116,6 +116,9 @@ class Spark(Dialect):
     def common(self, a, b):
         return f"array_intersect({a}, {b})"
 
+    def overlap(self, a, b):
+        return f"arrays_overlap({a}, {b})"
+
     def contains(self, a, x):
         return f"array_contains({a}, {x})"
 
@@ -187,6 +190,9 @@ class Duck(Dialect):
     def common(self, a, b):
         return f"list_intersect({a}, {b})"
 
+    def overlap(self, a, b):
+        return f"list_has_any({a}, {b})"
+
     def contains(self, a, x):
         return f"list_contains({a}, {x})"
 

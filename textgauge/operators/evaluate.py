@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -15,10 +16,23 @@ from textgauge.functions.dialect import DUCK, SPARK, Dialect
 from textgauge.operators.metrics import METRICS, PROVIDERS, stages
 
 
-def staged_sql(d: Dialect, source: str, upto: int | None = None) -> str:
+def needed(steps: list[dict[str, str]], wanted: list[str] | None) -> list[dict[str, str]]:
+    """The steps without columns that no wanted column builds on."""
+    if wanted is None:
+        return steps
+    names, out = set(wanted), []
+    for columns in reversed(steps):
+        own = {c: e for c, e in columns.items() if c in names}
+        for e in own.values():
+            names.update(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", e))
+        out.append(own)
+    return [columns for columns in reversed(out) if columns]
+
+
+def staged_sql(d: Dialect, source: str, wanted: list[str] | None = None) -> str:
     """The metrics over ``source`` (id, text and provider columns) as nested SELECTs."""
     sql = f"SELECT * FROM {source}"
-    for columns in stages(d)[:upto]:
+    for columns in needed(stages(d), wanted):
         sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM ({sql})"
     return sql
 
@@ -30,11 +44,17 @@ def with_providers(texts: DataFrame, providers: DataFrame | None = None) -> Data
     return texts.select("*", *(F.lit(None).cast(t).alias(c) for c, t in PROVIDERS.items() if c not in texts.columns))
 
 
-def with_metrics(texts: DataFrame, providers: DataFrame | None = None) -> DataFrame:
-    """Texts (id, text) with every metric that needs the row alone. One narrow stage."""
+def step(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds columns that later ones refer to several times. A generator over one struct keeps the optimizer from
+    putting each expression into all that refer to it, which would evaluate it again each time; it moves no rows."""
+    return rows.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
+
+
+def with_metrics(texts: DataFrame, providers: DataFrame | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """Texts (id, text) with every (or each wanted) metric that needs the row alone. One narrow stage."""
     out = with_providers(texts, providers)
-    for columns in stages(SPARK):
-        out = out.selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
+    for columns in needed(stages(SPARK), wanted):
+        out = step(out, columns)
     return out
 
 
@@ -61,11 +81,11 @@ SELECT id, greatest({n(0)}, least({n(1)}, {n(1.5)} * consecutive / (ns - 1))) AS
 greatest({n(0)}, least({n(1)}, 1 - 2 * (1 - along / sqrt(centre) / ns))) AS topic_focus FROM terms"""
 
 
-def vectors(metrics: DataFrame) -> DataFrame:
+def vectors(texts: DataFrame) -> DataFrame:
     """(id, coherence, topic_focus) of texts of two sentences or more that have terms."""
     view = f"sentences_{uuid.uuid4().hex}"
-    metrics.select("id", "ns", "sents").createOrReplaceTempView(view)
-    return metrics.sparkSession.sql(vectors_sql(SPARK, view))
+    with_metrics(texts, wanted=["ns", "sents"]).select("id", "ns", "sents").createOrReplaceTempView(view)
+    return texts.sparkSession.sql(vectors_sql(SPARK, view))
 
 
 def page_rank_cv(content: list, alpha: float = 0.85, most: int = 100) -> float | None:
@@ -104,9 +124,10 @@ def rank_variation(content: str):
 
 def with_all_metrics(texts: DataFrame, providers: DataFrame | None = None) -> DataFrame:
     """All metrics. Texts without term vectors have the fixed scores of that case."""
+    # dealt out by id once: the windows over term vectors and the join below need no other exchange of texts
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     rows = with_metrics(texts, providers).withColumn("rank_cv", rank_variation("sent_content"))
-    found = vectors(rows).withColumnRenamed("id", "vector_id")
-    rows = rows.join(found, F.col("id") == F.col("vector_id"), "left").drop("vector_id")
+    rows = rows.join(vectors(texts.select("id", "text")), "id", "left")
     z = (F.col("rank_cv") - 0.4) / 0.3
     return (
         rows.withColumn("coherence", F.when(F.col("ns") <= 1, 0.5).otherwise(F.coalesce("coherence", F.lit(0.3))))
@@ -196,5 +217,5 @@ def score(metrics: DataFrame, weights: dict[str, float] | None = None, domain: s
     for i, columns in enumerate(score_stages(SPARK, weights)):
         if i == 1 and domain:
             columns = {"domain": f"'{domain}'", "domain_confidence": "1D"}
-        out = out.selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
+        out = step(out, columns) if i == 0 else out.selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
     return out

@@ -148,10 +148,9 @@ def stages(d: Dialect) -> list[dict[str, str]]:
     code = r"[a-z]+[A-Z][A-Za-z]*|[A-Za-z]+_[A-Za-z_]+|[A-Za-z]+\.[A-Za-z.]+|(?:^|[^A-Za-z])[A-Z]{2,}|[A-Za-z_]+\(|<[^<>]+>|\{[^{}]+\}"
     fields = rf"(?m)^[ \t]*[-*][ \t]*`?[{WORD}]+`?[ \t]*[:(][ \t]*(?:string|int|integer|number|float|bool|boolean|array|list|object|date)"
     fenced = d.group("t", r"(?s)```(?:json)?[ \t\n\x0B\f\r]*(\{.*?\})[ \t\n\x0B\f\r]*```", 1)
-    quoted = d.replace("fence", r":[ \t\n\x0B\f\r]*(string|number|int|integer|float|boolean|bool|array|object|date)([ \t\n\x0B\f\r]*[,}\]])", text=': "') if False else None
     substance = d.size(d.filter(d.all_matches("t", rf"(?im)^(?:{lex.LABELS})[ \t]*:[^\n]*"), "x", f"{d.size(d.filter(d.all_matches(d.replace('lower(x)', '^[^:]*:', text=''), rf'[{WORD}]+'), 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.HOLLOW_WORDS))})'))} >= 3"))
     first = {w: d.group("low", rf"(\p{{Nd}}+)[ \t\n\x0B\f\r]*{w}s?", 1) for w in ("word", "sentence", "page")}
-    edges = d.size(d.filter(_pairs(d, "ns", 2), "p", f"{d.size(d.common(d.at('sent_content', 'p.a'), d.at('sent_content', 'p.b')))} > 0"))
+    edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
     repeats = _pairs(d, "ns", 1)
     five = {
         **{k: f"CAST({d.count('t', p if d.name == 'duck' else p.replace('x{2022}', 'u2022'))} AS BIGINT)" for k, p in layout.items()},
@@ -175,7 +174,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "n_injections": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
         "n_io": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*(?:input|in|q|question|user)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+\n+[ \t\n\x0B\f\r]*(?:output|out|a|answer|assistant|response)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         "n_examples": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*example[ \t\n\x0B\f\r]*\p{Nd}*[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
-        "n_arrows": f"CAST({d.size(d.filter(d.split('t', '\n'), 'x', d.has('x', r'[^ ].*->.*[^ ]')))} AS BIGINT)",
+        "n_arrows": f"CAST({d.size(d.filter(d.split('t', '\n'), 'x', f"contains(x, '->') AND {d.has('x', r'[^ ].*->.*[^ ]')}"))} AS BIGINT)",
         "n_hedges": f"CAST({hits(d, lex.HEDGES)} AS BIGINT)",
         "n_task_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.TASK_VERBS))), 'wl'))} AS BIGINT)",
         "n_imperatives": f"CAST({d.size(d.filter('sent_low', 'x', d.group('x', r'^[^\p{L}]*(\p{L}+)', 1) + f' IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
@@ -186,7 +185,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "n_content": f"CAST({d.size(d.distinct(d.filter('wl', 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})')))} AS BIGINT)",
         "gram_runs": f"CASE WHEN n_tokens < 4 THEN NULL ELSE {runs(d, 'grams', 'g')} END",
         "chunk_h": d.transform(d.filter(d.upto("CASE WHEN n_tokens < 10 THEN 0 ELSE CAST(ceil(n_tokens / CAST(chunk AS DOUBLE)) AS BIGINT) END"), "i", "n_tokens - i * chunk >= 3"), "i", entropy(d, d.part("tokens", "i * chunk", "chunk"), "z")),
-        "pairs": f"CAST({d.size(d.filter(repeats, 'p', f'{d.size(d.at('sent_sets', 'p.a'))} > 0 AND {d.size(d.at('sent_sets', 'p.b'))} > 0'))} AS DOUBLE)",
+        "filled": f"CAST({d.size(d.filter('sent_sets', 'x', f'{d.size(chr(120))} > 0'))} AS DOUBLE)",
         "repeats": f"CAST({d.size(d.filter(repeats, 'p', f'{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})'))} AS DOUBLE)",
         "edges": f"CAST(greatest(ns - 1, 0) + {edges} AS BIGINT)",
         **{f"mean_{k.lower()}": _mean_place(d, k) for k in ("CONTEXT", "TASK", "CONSTRAINT")},
@@ -204,6 +203,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
     grades = d.filter(d.array([f"CAST({x} AS DOUBLE)" for x in (fk, cli, ari, fog, smog, linsear)]), "g", "g >= 0 AND g <= 30")
     six = {
         "grades": f"CASE WHEN prose_wc < 3 THEN NULL ELSE {grades} END",
+        "pairs": "filled * (filled - 1) / 2",
         "variety": d.sum_of([f"{k} > 0" for k in layout] + ["paragraphs > 1"]),
         "layout_total": " + ".join(layout) + " + paragraphs",
         "n_json": _json_keys(d),
@@ -308,7 +308,6 @@ def _mean_place(d: Dialect, kind: str) -> str:
 
 def _json_keys(d: Dialect) -> str:
     """Keys of the fenced object; null if it isn't JSON. Bare type names are quoted first."""
-    quoted = d.replace("fence", r":[ \t\n]*(string|number|integer|int|float|boolean|bool|array|object|date)([ \t\n]*[,}])", text="")
     types = r":[ \t\n]*(string|number|integer|int|float|boolean|bool|array|object|date)([ \t\n]*[,}])"
     if d.name == "spark":
         fixed = f"regexp_replace(fence, {d.lit(types)}, {d.lit(': \"$1\"$2')})"
