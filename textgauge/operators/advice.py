@@ -21,7 +21,7 @@ LOW = {
     "specificity": "Name concrete things: numbers, names, formats, examples.",
     "structure": "Give the text a layout: labelled sections, lists or headings.",
     "task_signal": "Begin with what is to be done, with a verb and the result you want.",
-    "constraint": "State limits: format, length, tone, readers, what to leave out.",
+    "constraints": "State limits: format, length, tone, readers, what to leave out.",
     "contradiction": "Some requirements exclude each other: keep one of each pair.",
     "persona_signal": "Say which role the answer should be written in.",
     "few_shot_quality": "Add an example of input and expected output.",

@@ -28,7 +28,7 @@ PROVIDERS = {
     "p_reference_similarity": "double",
 }
 
-RULES = ["length", "grammar", "readability", "specificity", "structure", "task_signal", "constraint", "contradiction", "reference_similarity", "persona_signal", "few_shot_quality", "hedging", "safety", "output_schema", "compound_task_count", "imperative_strength"]
+RULES = ["length", "grammar", "readability", "specificity", "structure", "task_signal", "constraints", "contradiction", "reference_similarity", "persona_signal", "few_shot_quality", "hedging", "safety", "output_schema", "compound_task_count", "imperative_strength"]
 SEMANTIC = ["coherence", "semantic_density", "topic_focus", "lexical_sophistication", "sentence_flow", "reference_resolution", "tone_consistency", "objectivity", "syntactic_complexity", "discourse_markers"]
 INFORMATION = ["shannon_entropy", "redundancy", "information_density", "vocabulary_richness", "ngram_repetition", "burstiness", "sentence_repetition"]
 GRAPH = ["completeness", "has_context", "has_task", "has_constraint", "connectivity", "information_flow", "complexity", "centrality"]
@@ -238,7 +238,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "specificity": f"CASE WHEN english < {n(.5)} THEN {specific} * english ELSE {specific} END",
         "structure": f"CASE WHEN variety = 0 THEN {n(.2)} ELSE ({n(.6)} * least({n(1)}, variety / {n(4)}) + {n(.4)} * least({n(1)}, ({'layout_total'}) / {n(10)})) * CASE WHEN k_labels - solid > 0 AND k_labels - solid >= solid THEN {n(.5)} ELSE {n(1)} END END",
         "task_signal": clamp(f"(least(n_verbs, 3) + CASE WHEN asks THEN 1 ELSE 0 END + least(n_deliverables, 2)) / {n(5)}"),
-        "constraint": clamp(f"{n(.15)} * {d.sum_of([f'c_{k} > 0' for k in lex.CONSTRAINTS])} + {n(.05)} * ({' + '.join(f'c_{k}' for k in lex.CONSTRAINTS)})"),
+        "constraints": clamp(f"{n(.15)} * {d.sum_of([f'c_{k} > 0' for k in lex.CONSTRAINTS])} + {n(.05)} * ({' + '.join(f'c_{k}' for k in lex.CONSTRAINTS)})"),
         "contradiction": f"CASE WHEN NOT signalled THEN {n(.5)} ELSE greatest({n(0)}, 1 - {n(.35)} * conflicts) END",
         "reference_similarity": f"CASE WHEN p_reference_similarity IS NULL THEN {n(.5)} ELSE {clamp(f'(p_reference_similarity - {n(.4)}) / {n(.5)}')} END",
         "persona_signal": f"CASE WHEN n_persona = 0 THEN {n(.5)} ELSE least({n(1)}, least({n(.6)} + {n(.15)} * n_persona, {n(.9)}) + CASE WHEN coalesce(p_role_entities, 0) > 5 THEN {n(.1)} ELSE {n(0)} END) END",
