@@ -15,7 +15,8 @@ encoded each for itself; a batch's unseen chunks are the batch text:
 Whether two pieces stay apart is found by merging their characters once and remembered.
 
 Decoding joins the pieces' bytes, turns space marks into spaces and drops the first one, which encoding added.
-The round trip is exact but for texts that hold the space mark itself, which comes back as a space.
+Spaces become marks before the cut, as the library has it, so a text that holds the mark itself gets it back as a space; all
+other texts come back as they were.
 
 A null text counts as empty and has no pieces; rows repeating an id are encoded each for itself; null ids stay
 null; an empty table gives an empty result; extra columns are ignored.
@@ -38,7 +39,7 @@ KEEP = 400_000
 INDEX = 200_000
 
 _MARK = "▁"
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+_CHUNK = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n")
 _END = "\x00"
 
 
@@ -123,17 +124,16 @@ class Pieces:
             lo = hi
 
     def _learn(self, chunks: list[str]) -> None:
-        marked = [c.replace(" ", _MARK) for c in chunks]
-        text = _END.join(marked)
+        text = _END.join(chunks)
         start, end, ids = self.edges(text)
         first = np.searchsorted(end, np.arange(len(text) + 2)).tolist()
         start, ids = start.tolist(), ids.tolist()
         apart = self.apart
         base = 0
-        for chunk, name in zip(chunks, marked):
-            stop = base + len(name)
-            last: list[int] = [0] * (len(name) + 1)  # the piece that ends at each position; -1: bytes
-            since: list[int] = [base] * (len(name) + 1)
+        for chunk in chunks:
+            stop = base + len(chunk)
+            last: list[int] = [0] * (len(chunk) + 1)  # the piece that ends at each position; -1: bytes
+            since: list[int] = [base] * (len(chunk) + 1)
             for e in range(base + 1, stop + 1):
                 piece, come = -1, e - 1
                 for k in range(first[e], first[e + 1]):
@@ -166,7 +166,8 @@ class Pieces:
         if len(self.known) > KEEP:
             self.known.clear()
         # The chunk separator is U+0000; a text that holds it has that character encoded as a chunk of its own.
-        parts = [[] if not x else [c for c in (_CHUNK.findall(" " + x) if _END not in x else _split_end(" " + x))] for x in texts]
+        marked = [(_MARK + x).replace(" ", _MARK) if x else "" for x in texts]
+        parts = [_CHUNK.findall(x) if _END not in x else _split_end(x) for x in marked]
         known = self.known
         new = list(dict.fromkeys(c for p in parts for c in p if c not in known))
         for c in [c for c in new if _END in c]:
