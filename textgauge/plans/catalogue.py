@@ -208,7 +208,7 @@ def _judge_sql() -> str:
 
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = users(spark, sf_dir)
-    cache = texts.filter("id % 2000 < 1000").select(judge.cache_key("p", "m").alias("key"), F.lit("{}").alias("response")).distinct()
+    cache = texts.filter("length(text) >= 300").select(judge.cache_key("p", "m").alias("key"), F.lit("{}").alias("response")).distinct()
     return judge.misses(texts, cache, "p", "m").select("id", "key")
 
 
@@ -270,5 +270,5 @@ def oracle_sql() -> dict[str, str]:
         "quality_agreement": f"WITH r AS ({redundancy}), k AS (SELECT *, rank() OVER (ORDER BY ours) + (count(*) OVER (PARTITION BY ours) - 1) / 2 AS ra, rank() OVER (ORDER BY judged) + (count(*) OVER (PARTITION BY judged) - 1) / 2 AS rb FROM r) SELECT count(*) AS n, round(corr(ours, judged), {PLACES}) AS pearson, round(corr(ra, rb), {PLACES}) AS spearman, round(avg(abs(ours - judged)), {PLACES}) AS mean_difference FROM k",
         "source_means": f"SELECT source, count(*) AS n, round(avg(length), {PLACES}) AS mean_length FROM ({ev.staged_sql(DUCK, _DOCUMENTS, ['length'])}) r JOIN documents d ON d.doc_id = r.id GROUP BY source",
         "judge_normalise": _judge_sql(),
-        "cache_misses": "WITH u AS (SELECT conv_id * 1000 + turn AS id, sha256('p|m|' || text) AS key FROM conversations WHERE role = 'user') SELECT id, key FROM u WHERE key NOT IN (SELECT key FROM u WHERE id % 2000 < 1000)",
+        "cache_misses": "WITH u AS (SELECT conv_id * 1000 + turn AS id, text, sha256('p|m|' || text) AS key FROM conversations WHERE role = 'user') SELECT id, key FROM u WHERE key NOT IN (SELECT key FROM u WHERE length(text) >= 300)",
     }
