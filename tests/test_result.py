@@ -29,7 +29,7 @@ def test_result_is_whole(rows):
     assert {d["label"] for d in r["rubric_dimensions"]} <= {"Excellent", "Strong", "Good", "Fair", "Weak"}
     assert rows[1]["task_penalty_applied"] and rows[1]["final_score"] <= 12
     assert "bullet points" in rows[2]["raw_metrics"]["rule_based.structure"]["findings"]
-    assert rows[2]["raw_metrics"]["rule_based.hedging"]["findings"] == ["heavy hedging"]
+    assert rows[2]["raw_metrics"]["rule_based.hedging"]["findings"] == ["moderate hedging"]  # one in ten words
 
 
 def test_command_line(spark, tmp_path, capsys):
