@@ -28,17 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.llm.common import fold, saved, texts_of
+from textgauge.llm.tokens import release
 
 ORDER = 5
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 QUANTILE = 0.995
 MARGIN = 1.25
 MIN_CALIBRATION = 100
 MIN_BYTES = 40
 #: Trusted ids go to the scan as a broadcast up to so many, else by a join.
 BROADCAST_IDS = 4_000_000
-_CHUNK = 2 << 20
-_FLUSH = 1 << 20
+_CHUNK = 1 << 20
+_FLUSH = 1 << 19
 
 
 def ngrams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,7 @@ def _counts(order: int):
     def run(batches):
         import pyarrow as pa
 
+        release()
         key, count = np.empty(0, np.int64), np.empty(0, np.int64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -164,7 +166,7 @@ def _blobs(n_blocks: int):
             for b, i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), texts_of(batch.column(3))):
                 waiting.setdefault(b, []).append((i, lang, t))
                 size += len(t) + 64
-            if size > 48 << 20:
+            if size > 24 << 20:
                 yield from out(waiting)
                 waiting, size = {}, 0
         yield from out(waiting)

@@ -31,10 +31,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.llm import tokens
 from textgauge.llm.common import texts_of
 from textgauge.llm.tokens import str_texts
 
-KEEP = 400_000
 #: Characters of unseen chunks that are indexed at once.
 INDEX = 200_000
 
@@ -43,12 +43,13 @@ _CHUNK = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n")
 _END = "\x00"
 
 
-class Pieces:
+class Pieces(tokens.Memo):
     """A model's pieces, and the ids of the chunks met so far."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        super().__init__()
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte = {int(n[3:5], 16): i for i, n in enumerate(self.names) if sp.is_byte(i)}
@@ -66,7 +67,8 @@ class Pieces:
         self.matched_ids = np.array([self.id[n] for n in reachable])
         self.matched_len = np.array([len(n) for n in reachable])
         self.above = np.array([n + "\U0010ffff" for n in reachable])
-        self.known: dict[str, list[int]] = {}
+        self.is_byte = np.zeros(len(self.names), bool)
+        self.is_byte[list(self.byte.values())] = True
 
     def merged(self, text: str) -> list[str]:
         """Pair merging of a short text, best rank first, leftmost among equals."""
@@ -112,8 +114,11 @@ class Pieces:
         by = np.argsort(end, kind="stable")
         return start[by], end[by], np.repeat(self.matched_ids, n)[by]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that were not met before."""
+    def _add(self, new: list[str]) -> None:
+        for c in new:  # the chunk separator is U+0000; a text's own is a chunk for itself
+            if c == _END:
+                self._put(c, [self.byte[0]])
+        chunks = [c for c in new if c != _END]
         lo = 0
         while lo < len(chunks):
             size, hi = 0, lo
@@ -159,21 +164,25 @@ class Pieces:
                     out.append(piece)
                 e = s
             out.reverse()
-            self.known[chunk] = out
+            self._put(chunk, out)
             base = stop + 1
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and each text's number of ids."""
+        if len(self.index) > tokens.KEEP:
+            self._trim()
+        flat, last = [], []
+        for x in texts:
+            if x:
+                x = (_MARK + x).replace(" ", _MARK)
+                flat += _CHUNK.findall(x) if _END not in x else _split_end(x)
+            last.append(len(flat))
+        ids, ends = self.look_up(flat, last)
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > KEEP:
-            self.known.clear()
-        # The chunk separator is U+0000; a text that holds it has that character encoded as a chunk of its own.
-        marked = [(_MARK + x).replace(" ", _MARK) if x else "" for x in texts]
-        parts = [_CHUNK.findall(x) if _END not in x else _split_end(x) for x in marked]
-        known = self.known
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in known))
-        for c in [c for c in new if _END in c]:
-            known[c] = [self.byte[0]]
-        self.learn([c for c in new if _END not in c])
-        return [[i for c in p for i in known[c]] for p in parts]
+        ids, sizes = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")[1:]
@@ -222,10 +231,13 @@ def _digest(path: str):
         model = pieces(path)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            ids = model.encode([t.decode() for t in texts])
-            crc = [zlib.crc32(np.array(x, "<u4")) for x in ids]
-            size = [len(x) for x in ids]
-            fallback = [sum(1 for i in x if 3 <= i < 259) for x in ids]
+            flat, size = model.encode_flat([t.decode() for t in texts])
+            ends = np.cumsum(size)
+            ids = np.split(flat, ends[:-1]) if texts else []
+            crc = [zlib.crc32(x) for x in ids]
+            sums = np.concatenate([[0], np.cumsum(model.is_byte[flat])])
+            fallback = sums[ends] - sums[ends - size]
+            ids = [x.tolist() for x in ids]
             back = [model.decode(x) for x in ids]
             same = [b.encode() == t for b, t in zip(back, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array([zlib.crc32(b.encode()) for b in back], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "decoded_crc32", "round_trip"])

@@ -2,13 +2,14 @@
 
 Both tokenizer files split a text into pretokens that never reach over a run of white space, so a text's
 ids are the concatenated ids of its white-space chunks. Each Python worker keeps the ids of the chunks it
-has met (at most ``KEEP`` of them, then it starts anew) and sends only unseen chunks to the library.
+has met (about ``KEEP`` of them; beyond, those met most often stay) and sends only unseen chunks to the library.
 Texts with white space for which that split isn't safe go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -18,6 +19,8 @@ KEEP = 400_000
 
 #: A chunk is a run of spaces and line ends with the run of other characters after it.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A special token of both files.
+_PART = "<|endoftext|>"
 _ODD_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 _ODD_SPLIT = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")
 _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
@@ -37,64 +40,107 @@ def word_chunks(text: str) -> list[str] | None:
     return text.split()
 
 
-class Encoder:
-    """Ids of texts by a tokenizers file; ``chunks`` splits a text, or says None if it must stay whole."""
-
-    def __init__(self, path: str, chunks) -> None:
-        from tokenizers import Tokenizer
+class Memo:
+    """The ids of chunks met so far, one after the other in an array."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = chunks
+    def __init__(self) -> None:
         self._clear()
 
+    def _add(self, new: list[str]) -> None:
+        """Puts chunks that were not met before."""
+        raise NotImplementedError
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.start: list[int] = []
-        self.length: list[int] = []
+        self.start = array("q")
+        self.length = array("q")
+        self.met = np.zeros(1 << 16, np.int64)
+
+    def _trim(self) -> None:
+        """Keeps the chunks met most often, at most half of ``KEEP``, and none that was met once."""
+        n, most = len(self.start), KEEP // 2
+        met, old, flat, start, length = self.met[:n], self.index, self.flat, self.start, self.length
+        least = max(2, int(np.partition(met, n - most)[n - most])) if n > most else 2
+        self._clear()
+        for chunk, i in old.items():
+            if met[i] >= least:
+                self._put(chunk, flat[start[i] : start[i] + length[i]])
+                self.met[self.index[chunk]] = met[i] // 2
+
+    def _put(self, chunk: str, ids) -> None:
+        n = len(ids)
+        if len(self.start) >= len(self.met):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        if self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), n), np.uint32)])
+        self.flat[self.used : self.used + n] = ids
+        self.index[chunk] = len(self.start)
+        self.start.append(self.used)
+        self.length.append(n)
+        self.used += n
+
+    def look_up(self, flat: list[str], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and how many there are before each place in ``last``."""
+        which = list(map(self.index.get, flat))
+        missing = [k for k, i in enumerate(which) if i is None]
+        new = list(dict.fromkeys([flat[k] for k in missing]))
+        for i in range(0, len(new), 20_000):
+            self._add(new[i : i + 20_000])
+        for k in missing:
+            which[k] = self.index[flat[k]]
+        which = np.array(which, np.int64)
+        seen = np.bincount(which)
+        self.met[: len(seen)] += seen
+        start, length = np.frombuffer(self.start, np.int64)[which], np.frombuffer(self.length, np.int64)[which]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[np.array(last, np.int64)]
+
+
+class Encoder(Memo):
+    """Ids of texts by a tokenizers file; ``chunks`` splits a text, or says None if it must stay whole."""
+
+    def __init__(self, path: str, chunks) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks = chunks
+        self.part = self.tokenizer.token_to_id(_PART)
 
     def _add(self, new: list[str]) -> None:
-        for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.index[x] = len(self.start)
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
+        """Unseen chunks go to the library many at a time, parted by a special token, which the library takes out
+        of a text before it looks at the rest."""
+        plain = [x for x in new if "<|" not in x and "|>" not in x]
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([_PART.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.part)
+            for x, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                self._put(x, ids[a:b])
+        for x in new:
+            if "<|" in x or "|>" in x:
+                self._put(x, self.tokenizer.encode(x, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, ``end`` after each text, and each text's number of ids."""
         if len(self.index) > KEEP:
-            self._clear()
+            self._trim()
         if end not in self.index:  # the end id is kept like a chunk, under its number
-            self.index[end] = len(self.start)
-            if self.used + 1 > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-            self.flat[self.used] = end
-            self.start.append(self.used)
-            self.length.append(1)
-            self.used += 1
-        parts = [[x] if (c := self.chunks(x)) is None and x else c or [] for x in texts]
-        get = self.index.get
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in self.index))
-        for i in range(0, len(new), 20_000):
-            self._add(new[i : i + 20_000])
-        tail = self.index[end]
-        flat_index, n_parts = [], []
-        for p in parts:
-            flat_index.extend(map(get, p))
-            flat_index.append(tail)
-            n_parts.append(len(p) + 1)
-        which = np.array(flat_index, np.int64)
-        start, length = np.array(self.start, np.int64)[which], np.array(self.length, np.int64)[which]
-        ends = np.cumsum(length)
-        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(n_parts) - 1
-        totals = np.diff(ends[last], prepend=0) if len(last) else np.empty(0, np.int64)
-        return ids, totals
+            self._put(end, [end])
+        flat, last = [], []
+        for x in texts:
+            parts = self.chunks(x)
+            if parts is not None:
+                flat += parts
+            elif x:
+                flat.append(x)
+            flat.append(end)
+            last.append(len(flat))
+        ids, ends = self.look_up(flat, last)
+        return ids, np.diff(ends, prepend=0)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -108,5 +154,10 @@ def encoder(path: str, chunks) -> Encoder:
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Frees the memos of a worker that goes on to other work."""
+    _ENCODERS.clear()
+
+
 def str_texts(column) -> list[str]:
     return [x.decode() for x in texts_of(column)]
