@@ -260,6 +260,42 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def wrapped(text, width=68, mark="# "):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def gnu(name, version, work, later=True):
+    grant = f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; "
+    grant += f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return grant, f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {name} for more details."
+
+
+def test_licenses_of_wrapped_headers_and_whole_files(spark):
+    """Headers wrapped over lines, and licence files, are compared as wholes."""
+    from pathlib import Path
+
+    code = "\nimport os\n\ndef walk(top):\n    return [x for x in os.listdir(top)]\n" * 12
+    lgpl, gpl2, agpl, lgpl3 = gnu("Lesser General Public License", "2.1", "library"), gnu("General Public License", "2", "program"), gnu("Affero General Public License", "3", "program"), gnu("Lesser General Public License", "3", "library")
+    texts = Path(licenses.__file__).parent / "license_texts"
+    names = sorted(f.name.removesuffix(".txt") for f in texts.glob("*.txt"))
+    rows = [
+        ("LGPL-2.1", "\n#\n".join(map(wrapped, lgpl)) + code),
+        ("GPL-2.0", "\n#\n".join(map(wrapped, gpl2)) + "\n" + code),
+        ("GPL-2.0", wrapped(gnu("General Public License", "2", "program", later=False)[0], 60, " * ") + "\n\n" + code),
+        ("AGPL-3.0", "\n".join(wrapped(x, 74, "// ") for x in agpl) + code),
+        ("LGPL-3.0", "# " + lgpl3[0] + "\n" + code),
+        ("LGPL-3.0", "A tool that walks. It is licensed under the GNU Lesser\nGeneral Public License, version 3. See the docs for more.\n" + code),
+        *((n, "Copyright (c) 2019 The Walkers\n\n" + (texts / f"{n}.txt").read_text()) for n in names),
+        ("AGPL-3.0", dict(licenses._texts())["AGPL-3.0"]),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/f.txt", t) for i, (_, t) in enumerate(rows)], "file_id long, path string, text string")
+    got = by_id(licenses.scan_licenses(df), "file_id", "license", "origin")
+    assert [r[1] for r in got] == [n for n, _ in rows]
+    assert [r[2] for r in got] == ["header"] * 6 + ["file"] * (len(rows) - 6)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------
 
 
