@@ -33,3 +33,54 @@ def test_query_equals_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - {"bootstrap_ci"}))
 def test_other_queries_have_rows(spark, name):
     assert catalogue.queries()[name](spark, DATA).count()
+
+
+TURNS = [
+    "Write a list of colours. Use at most ten words. Name the red ones first. Then stop.",
+    "help",
+    "Sort these numbers in Python. They come from a file. For example, 3 and 1 give 1 and 3. Do not use libraries. Explain the complexity.",
+    "Tell me. Tell me more.",
+]
+
+
+@pytest.fixture
+def turns(spark, tmp_path):
+    path = "file://" + str(tmp_path)
+    rows = [(i, 0, "user", t) for i, t in enumerate(TURNS)] + [(9, 1, "assistant", "Here you are. It is done. Good bye.")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(path + "/conversations.parquet")
+    return path
+
+
+def test_rewrites_cover_the_table(spark, turns):
+    got = {r["id"]: r["rewritten"] for r in catalogue.queries()["rewrites"](spark, turns).collect() if r["id"] >= 0}
+    assert sorted(got) == [1000 * i for i in range(len(TURNS))]
+    assert all("Task: " + t in got[1000 * i] for i, t in enumerate(TURNS))
+
+
+def test_bootstrap_equals_plain_resampling(spark, turns):
+    import random
+    import re
+
+    from textgauge.operators import evaluate as ev
+
+    def draws(n):
+        draw = random.Random(42)
+        sets = [sorted({draw.randrange(n) for _ in range(n)}) for _ in range(30)]
+        return [x for x in sets if len(x) >= 2]
+
+    rebuilt = {}
+    for i, t in enumerate(TURNS):
+        parts = re.split(r"(?<=[.])\s+", t)
+        rebuilt[1000 * i] = [t] + ([" ".join(parts[j] for j in x) for x in draws(len(parts))] if len(parts) >= 3 else [])
+    flat = [(k, n, t) for k, own in rebuilt.items() for n, t in enumerate(own)]
+    scores = ev.evaluate(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(flat)], "id long, text string")).select("id", "final_score").collect()
+    by = {r["id"]: r["final_score"] for r in scores}
+    want = {}
+    for k in rebuilt:
+        own, *s = [by[i] for i, (key, _, _) in enumerate(flat) if key == k]
+        s, m = sorted(s), len(s)
+        want[k] = (s[int(m * 0.025)], s[min(int(m * 0.975), m - 1)], (sum((x - sum(s) / m) ** 2 for x in s) / m) ** 0.5, m) if m >= 5 else (own, own, 0.0, m)
+    got = {r["id"]: (r["low"], r["high"], r["score_std"], r["samples"]) for r in catalogue.queries()["bootstrap_ci"](spark, turns).collect() if r["id"] >= 0}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-5)

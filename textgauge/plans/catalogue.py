@@ -66,6 +66,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns, and the prompts."""
+    return users(spark, sf_dir).unionByName(prompts(spark))
+
+
 _NULLS = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in PROVIDERS.items())
 _PROMPT_ROWS = " UNION ALL ".join(f"SELECT {-1 - i} AS id, {DUCK.lit(t)} AS text" for i, t in enumerate(PROMPTS))
 _DOCUMENTS = f"(SELECT doc_id AS id, text, {_NULLS} FROM documents)"
@@ -156,7 +161,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advice.rewrite(ev.evaluate(prompts(spark)))
+    return advice.rewrite(ev.evaluate(asked(spark, sf_dir)))
 
 
 def batch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +177,7 @@ def dimension_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advice.bootstrap(prompts(spark))
+    return advice.bootstrap(asked(spark, sf_dir))
 
 
 def compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
