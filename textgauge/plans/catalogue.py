@@ -168,6 +168,11 @@ def batch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.rank_batch(ev.score(_neutral(spark, users(spark, sf_dir)))).select("rank", "id", "preview", "score", "verdict", "domain")
 
 
+def batch_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by the full score, with every text's own centrality; ``batch_rank`` is its SQL check."""
+    return advice.rank_batch(ev.evaluate(users(spark, sf_dir))).select("rank", "id", "preview", "score", "verdict", "domain")
+
+
 def pillar_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advice.ablate_pillars(ev.with_all_metrics(users(spark, sf_dir)))
 
@@ -241,6 +246,7 @@ def queries() -> dict[str, Query]:
         "suggestions": suggestions,
         "rewrites": rewrites,
         "batch_rank": batch_rank,
+        "batch_rank_full": batch_rank_full,
         "compare_pairs": compare_pairs,
         "pillar_ablation": pillar_ablation,
         "dimension_ablation": dimension_ablation,
