@@ -223,6 +223,11 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(empty(spark), labels(spark, [(1, 1, 1, "")])).count() == 0
 
 
+def test_shouting_counts_the_whole_text():
+    for text, shouts in (("IDIOT " * 50_000, True), ("IDIOT " * 20_000 + "quiet " * 30_000, False), ("quiet " * 20_000 + "IDIOT " * 40_000, True)):
+        assert toxicity.patterns(text, toxicity._WORD.findall(text.lower()))[2] is shouts
+
+
 # --- 5: licences ----------------------------------------------------------------------------------------
 
 

@@ -66,8 +66,7 @@ def counted(words: list[str], known=None) -> set[str]:
 def patterns(text: str, words: list[str]) -> tuple[bool, bool, bool]:
     hits = [i for i, w in enumerate(words) if w in INSULTS]
     near = any(words[j] in _SECOND for i in hits for j in range(max(0, i - 3), min(len(words), i + 4)))
-    upper = sum(1 for c in text[:100_000] if c.isupper())
-    return bool(hits), near, bool(hits) and upper > 0.5 * max(1, len(text))
+    return bool(hits), near, bool(hits) and sum(1 for c in text if c.isupper()) > 0.5 * max(1, len(text))
 
 
 def _support(batches):
