@@ -9,9 +9,9 @@ Base kinds, leftmost and non-overlapping for each kind over the whole text (null
 
 Linking adds weak candidates, each by itself too common to report: ``identifier`` (client, account, user and
 key ids that are assigned a value), ``value`` (strings of 20 or more letters and digits of all three kinds with
-high entropy, outside base spans) and ``endpoint`` (URLs, hosts with a port). A part's interval is widened by
-``REACH`` code points inside its scope, a block of lines between blank ones; an interval join within the
-scope looks for overlaps. A weak identifier is reported if a secret (assign, hex, value) overlaps it, a weak
+high entropy, outside base spans) and ``endpoint`` (URLs, hosts with a port). A part's interval is widened to its
+scope, a block of lines between blank ones, and in a text without blank lines by ``REACH`` code points; an interval
+join looks for overlaps. A weak identifier is reported if a secret (assign, hex, value) overlaps it, a weak
 value if an identifier (access, identifier) does, an endpoint if both do. The join sorts each scope's starts
 and bisects, so its cost follows the parts, not their pairs.
 
@@ -92,7 +92,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         i = bisect_right(breaks, x[0])
         low = breaks[i - 1] if i else 0
         high = breaks[i] if i < len(breaks) else len(text)
-        return parts.meets(max(low, x[0] - REACH), min(high, x[2] + REACH))
+        return parts.meets(low, high) if breaks else parts.meets(max(low, x[0] - REACH), min(high, x[2] + REACH))
 
     return (
         [x for x in identifiers if near(secrets, x)]
