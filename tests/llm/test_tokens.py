@@ -103,7 +103,7 @@ def test_configurations_reach_the_linear_optimum():
 
 def test_token_files(spark, libraries):
     tokenizer = libraries[1]
-    rows = sorted(messy_rows(), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
+    rows = sorted(messy_rows(), key=lambda r: (r[0] is not None, r[0]))  # the repeated id has one text
     want, start = [], 0
     for r in rows:
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -114,6 +114,24 @@ def test_token_files(spark, libraries):
     assert token_files.token_files(empty(spark), WORDS).count() == 0
 
 
+def test_token_files_of_one_id(spark, libraries, monkeypatch):
+    """Most rows share an id or have none: they are dealt out by their texts."""
+    texts = [f"word number {i} " + "more " * (i % 9) for i in range(400)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    got = token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORDS).collect()
+    crcs = sorted(crc(libraries[1].encode(t, add_special_tokens=False).ids + [2]) for t in texts)
+    assert sorted(r["ids_crc32"] for r in got) == crcs
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+
+
+def columns_of(meta, group):
+    group = meta.metadata.row_group(group)
+    return {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+
+
 def test_token_files_format(spark, tmp_path):
     import pyarrow.parquet as pq
 
@@ -123,10 +141,79 @@ def test_token_files_format(spark, tmp_path):
     last = None
     for f in files:
         meta = pq.ParquetFile(f)
-        group = meta.metadata.row_group(0)
-        names = [group.column(i).path_in_schema for i in range(group.num_columns)]
-        assert any("DICTIONARY" in str(e) or "DELTA" in str(e) for e in group.column(len(names) - 1).encodings)
-        assert all(group.column(i).has_column_index and group.column(i).has_offset_index for i in range(len(names)))
+        columns = columns_of(meta, 0)
+        assert "RLE_DICTIONARY" in columns["tokens"].encodings
+        for name in ("doc_id", "row", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and "RLE_DICTIONARY" not in columns[name].encodings
+        assert all(c.has_column_index and c.has_offset_index for c in columns.values())
         ids = [x for x in meta.read(columns=["doc_id"])["doc_id"].to_pylist() if x is not None]
         assert ids == sorted(ids) and (last is None or not ids or ids[0] >= last)
         last = ids[-1] if ids else last
+
+
+def scanned_rows(df):
+    """Rows that left the scan of an executed DataFrame."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_token_files_are_read_selectively(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "ROW_GROUP", 100_000)
+    n = 6000
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{rng.randint(0, 10**6)}" for _ in range(20))) for i in range(n)]
+    path = "file://" + str(tmp_path / "tokens")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORDS, path)
+    groups = [columns_of(pq.ParquetFile(f), g)["tokens"].total_uncompressed_size for f in (tmp_path / "tokens").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > 3 and max(groups) <= 2 * 100_000
+    some = token_files.read_tokens(spark, path, 3000, 3009)
+    assert "GreaterThanOrEqual(doc_id,3000)" in some._jdf.queryExecution().toString()
+    assert sorted(r["doc_id"] for r in some.collect()) == list(range(3000, 3010))
+    assert all(r["n_tokens"] == len(r["tokens"]) for r in some.collect())
+    assert 10 <= scanned_rows(some) <= 2 * token_files.PAGE_ROWS  # pages beside those asked for aren't decoded
+    metadata = token_files.read_metadata(spark, path)._jdf.queryExecution().toString()
+    assert "tokens:array" not in metadata.split("== Physical Plan ==")[1]
+
+
+def test_long_texts_in_slices(spark, libraries, monkeypatch):
+    """Long texts are cut and looked up in parts, and the memo is emptied on the way, without a trace in the ids."""
+    from textgauge.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 300)
+    monkeypatch.setattr(tokens, "LOOK_UP", 100)
+    monkeypatch.setattr(tokens, "KEEP_BYTES", 20_000)
+    rng = random.Random(9)
+    alphabet = ["the", "river's", "l'eau", "ÉTÉ", "naïve,", "x=1", "...", "don't", "\n", " ", "日本", "İstanbul", "\tTab", "A.B.C.", "\n\nPara", "fi'n", "straße!", "▁m", "\u3000wide", "e\u0301", "<|x|>", "2024-01-02,", "\x00"]
+    texts = [" ".join(rng.choice(alphabet) if rng.random() < 0.6 else "w%dq" % rng.randint(0, 5000) for _ in range(rng.choice([0, 3, 40, 3000]))) for _ in range(40)]
+    for path, chunks, library in ((BYTES, tokens.byte_level_chunks, libraries[0]), (WORDS, tokens.word_chunks, libraries[1])):
+        for some in (texts, texts[::-1]):
+            ids, sizes = tokens.Encoder(path, chunks).encode(some, 2)
+            want = [library.encode(x, add_special_tokens=False).ids + [2] for x in some]
+            assert sizes.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+    assert pieces.Pieces(PIECES).encode(texts) == libraries[2].encode(texts)
+
+
+def test_memory_of_a_batch_of_long_texts():
+    """What encoding needs beside texts and ids is bounded: 40 MB of text of 6 million chunks."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource
+from textgauge.llm import tokens
+rng = random.Random(2)
+words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+texts = [" ".join(rng.choices(words, k=50_000)) for _ in range(100)]
+e = tokens.Encoder({WORDS!r}, tokens.word_chunks)
+e.encode(texts[:1], 2)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids, sizes = e.encode(texts, 2)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before - 2 * ids.nbytes // 1024)
+"""
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout)
+    assert kb < 100_000

@@ -6,6 +6,7 @@ executors and the driver can reach; only where that is unset (tests) a folder of
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,13 +17,56 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Rows of one Arrow batch sent to Python; texts can be long, so batches are kept short.
+#: Rows and bytes of one Arrow batch sent to Python; texts can be long, so batches are kept short.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def configure(spark: SparkSession) -> None:
     """Session settings the operators rely on for bounded memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_WORK: list[str] = [""]
+_CLEAR: list = []
+
+
+def on_change(clear) -> None:
+    """``clear`` is called when a reused Python worker goes on to other work."""
+    _CLEAR.append(clear)
+
+
+def free(work: str) -> None:
+    """Gives back what a worker's earlier work left: kept state, and memory that allocators hold."""
+    if _WORK[0] != work:
+        _WORK[0] = work
+        for clear in _CLEAR:
+            clear()
+        trim()
+
+
+def trim() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidy(work: str, run):
+    """``run`` for ``mapInArrow``, with the worker's memory given back before other work and after each task."""
+
+    def task(batches):
+        free(work)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +81,8 @@ def scratch(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textgauge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/textgauge"

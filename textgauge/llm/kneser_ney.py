@@ -27,8 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import fold, saved, texts_of
-from textgauge.llm.tokens import release
+from textgauge.llm.common import fold, saved, texts_of, tidy
 
 ORDER = 5
 BLOCK = 16 << 20
@@ -70,7 +69,6 @@ def _counts(order: int):
     def run(batches):
         import pyarrow as pa
 
-        release()
         key, count = np.empty(0, np.int64), np.empty(0, np.int64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -235,12 +233,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     ids = trusted.select("doc_id", F.lit(True).alias("trusted"))
     known = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left")
     flagged = known.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = flagged.mapInArrow(_counts(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counted = flagged.mapInArrow(tidy("kn", _counts(order)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     probabilities = model(saved(counted, "kn-ngrams"), order)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(max(1, -(-size // BLOCK)))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "lang", "text")
-    blocks = dealt.mapInArrow(_blobs(n_blocks), "block int, ids array<bigint>, langs array<string>, sizes array<bigint>, data binary")
+    blocks = dealt.mapInArrow(tidy("kn", _blobs(n_blocks)), "block int, ids array<bigint>, langs array<string>, sizes array<bigint>, data binary")
     some = blocks.groupBy("block").applyInArrow(_distinct(order), "block int, g long")
     needed = some.join(probabilities, "g").select("block", "g", "logp")
     scored = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_sums(order), "row long, lang string, n_bytes long, perplexity double")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import mix, saved, texts_of
+from textgauge.llm.common import mix, saved, texts_of, tidy
 
 ROWS = 5
 BANDS = 30
@@ -139,7 +139,7 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     left = text.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = text.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return saved(both.mapInArrow(_confirm(k, percent), "a long, b long"), "neardup-links")
+    return saved(both.mapInArrow(tidy("neardup", _confirm(k, percent)), "a long, b long"), "neardup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,12 +257,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
             keep = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(pa.array(keep.astype(bool)))
 
-    return at.filter("id is not null and text is not null").mapInArrow(run, "id long, text string")
+    return at.filter("id is not null and text is not null").mapInArrow(tidy("neardup", run), "id long, text string")
 
 
 def _tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members (bucket, id, label) of different components within a bucket."""
-    about = saved(_only(docs, members.select("id").distinct()).mapInArrow(_described(k), "id long, shingles binary, short binary, keys binary"), "neardup-described")
+    about = saved(_only(docs, members.select("id").distinct()).mapInArrow(tidy("neardup", _described(k)), "id long, shingles binary, short binary, keys binary"), "neardup-described")
     sizes = saved(members.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "neardup-tiles")
     placed = members.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -277,7 +277,7 @@ def _tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (see the module's text)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = saved(docs.mapInArrow(_sketch_batches(k), "id long, n long, mark binary, bands array<bigint>"), "neardup-sketch")
+    sketched = saved(docs.mapInArrow(tidy("neardup", _sketch_batches(k)), "id long, n long, mark binary, bands array<bigint>"), "neardup-sketch")
     some = sketched.filter("id is not null and mark is not null")
     reps = saved(some.groupBy("mark").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "neardup-reps")
     spread = saved(reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).distinct(), "neardup-buckets")

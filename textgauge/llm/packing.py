@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import saved
+from textgauge.llm.common import saved, tidy
 from textgauge.llm.tokens import byte_level_chunks, encoder, str_texts
 
 CAPACITY = 1024
@@ -247,11 +247,11 @@ def _places(places: dict[str, np.ndarray]):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS, end: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = saved(docs.mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"), "pack-pieces")
+    cut = saved(docs.mapInArrow(tidy("pack", _pieces(tokenizer, capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"), "pack-pieces")
     by_part = saved(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "pack-counts")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = slots(plan(counts, capacity, groups), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = saved(by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "pack-offsets")
     ranked = cut.join(offsets, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "local", "before")
-    return ranked.mapInArrow(_places(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy("place", _places(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.llm import tokens
-from textgauge.llm.common import texts_of
+from textgauge.llm.common import on_change, texts_of, tidy
 from textgauge.llm.tokens import str_texts
 
 #: Characters of unseen chunks that are indexed at once.
@@ -40,6 +40,7 @@ INDEX = 200_000
 
 _MARK = "▁"
 _CHUNK = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n")
+_CUT = re.compile(f"(?<=[!-~]){_MARK}")
 _END = "\x00"
 
 
@@ -167,18 +168,14 @@ class Pieces(tokens.Memo):
             self._put(chunk, out)
             base = stop + 1
 
+    def _row(self, text: str):
+        if text:
+            for part in tokens.slices((_MARK + text).replace(" ", _MARK), _CUT):
+                yield _CHUNK.findall(part) if _END not in part else _split_end(part)
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
-        if len(self.index) > tokens.KEEP:
-            self._trim()
-        flat, last = [], []
-        for x in texts:
-            if x:
-                x = (_MARK + x).replace(" ", _MARK)
-                flat += _CHUNK.findall(x) if _END not in x else _split_end(x)
-            last.append(len(flat))
-        ids, ends = self.look_up(flat, last)
-        return ids, np.diff(ends, prepend=0)
+        return self.encode_slices(map(self._row, texts))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids, sizes = self.encode_flat(texts)
@@ -193,6 +190,7 @@ def _split_end(text: str) -> list[str]:
 
 
 _MODELS: dict[str, Pieces] = {}
+on_change(_MODELS.clear)
 
 
 def pieces(path: str) -> Pieces:
@@ -251,14 +249,14 @@ def _named(docs: DataFrame, id_col: str, col: str) -> DataFrame:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: the pieces of every text."""
-    return _named(docs, id_col, text_col).mapInArrow(_encode(model), "doc_id long, ids array<int>")
+    return _named(docs, id_col, text_col).mapInArrow(tidy("pieces", _encode(model)), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of every list of ids."""
-    return _named(rows, id_col, ids_col).mapInArrow(_decode(model), "doc_id long, text string")
+    return _named(rows, id_col, ids_col).mapInArrow(tidy("pieces", _decode(model)), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, n_bytes, ids_crc32, decoded_crc32, round_trip: encoded and decoded again."""
-    return _named(docs, id_col, text_col).mapInArrow(_digest(model), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return _named(docs, id_col, text_col).mapInArrow(tidy("pieces", _digest(model)), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

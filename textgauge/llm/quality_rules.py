@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import saved, texts_of
+from textgauge.llm.common import saved, texts_of, tidy
 
 MIN_WORDS = 10
 COMMON = 100
@@ -137,7 +137,7 @@ def _count(batches):
 
 def references(docs: DataFrame) -> dict[str, dict]:
     """By language: character-class shares, the common words with their shares, words in all."""
-    counts = saved(docs.select("lang", "text").mapInArrow(_count, "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")), "rules-counts")
+    counts = saved(docs.select("lang", "text").mapInArrow(tidy("rules", _count), "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")), "rules-counts")
     is_class = F.substring(F.col("term").cast("string"), 1, 1) == " "
     total = {r["lang"]: r["n"] for r in counts.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "term")
@@ -220,4 +220,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lang = F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise("und")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     schema = SCHEMA + "".join(f", c_{c} {docs.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
-    return docs.mapInArrow(_judge(references(docs)), schema)
+    return docs.mapInArrow(tidy("rules", _judge(references(docs))), schema)

@@ -30,6 +30,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.llm.common import tidy
 from textgauge.llm.tokens import str_texts
 
 REACH = 200
@@ -144,10 +145,10 @@ def _redact(batches):
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked: one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return docs.mapInArrow(tidy("secrets", _scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span that ``scan_secrets`` reports replaced by its kind in brackets; overlapping
     spans become one mark. Null texts stay null."""
-    return docs.mapInArrow(_redact, docs.schema)
+    return docs.mapInArrow(tidy("secrets", _redact), docs.schema)

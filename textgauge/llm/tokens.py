@@ -2,20 +2,27 @@
 
 Both tokenizer files split a text into pretokens that never reach over a run of white space, so a text's
 ids are the concatenated ids of its white-space chunks. Each Python worker keeps the ids of the chunks it
-has met (about ``KEEP`` of them; beyond, those met most often stay) and sends only unseen chunks to the library.
-Texts with white space for which that split isn't safe go to the library whole.
+has met (about ``KEEP_BYTES``; beyond, those met most often stay) and sends only unseen chunks to the library.
+Texts with white space for which that split isn't safe go to the library whole. Long texts are cut into slices at
+places that no pretoken reaches over, and chunks are looked up some at a time, so memory doesn't follow a batch's texts.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 
-from textgauge.llm.common import texts_of
+from textgauge.llm.common import on_change, texts_of
 
-KEEP = 400_000
+#: Bytes of a worker's memo, about; chunks that are looked up at once; characters of a text that are cut up at once.
+KEEP_BYTES = 72 << 20
+LOOK_UP = 100_000
+SLICE = 1 << 20
+#: What the memo needs for a chunk beside its characters and ids.
+_ENTRY = 160
 
 #: A chunk is a run of spaces and line ends with the run of other characters after it.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -24,6 +31,20 @@ _PART = "<|endoftext|>"
 _ODD_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 _ODD_SPLIT = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")
 _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
+#: Where a long text may be cut: between a visible ASCII character and the space or line end after it.
+_CUT = re.compile(r"(?<=[!-~])[ \n]")
+#: Chunks whose pretokens are plain: at most one line end, letters with at most one space before them, and marks.
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def slices(text: str, cut: re.Pattern = _CUT) -> list[str]:
+    """The text in slices of about ``SLICE`` characters that chunks don't reach over."""
+    out, at = [], 0
+    while len(text) - at > SLICE and (m := cut.search(text, at + SLICE)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    out.append(text[at:])
+    return out
 
 
 def byte_level_chunks(text: str) -> list[str] | None:
@@ -32,10 +53,10 @@ def byte_level_chunks(text: str) -> list[str] | None:
 
 def word_chunks(text: str) -> list[str] | None:
     """Words of a tokenizer that drops white space and lower-cases. A-Z are lowered here already, which is
-    the same unless a combining mark follows."""
+    the same unless a combining mark follows, or the letters belong to something like a special token."""
     if _ODD_SPLIT.search(text):
         return None
-    if not _COMBINING.search(text):
+    if not _COMBINING.search(text) and "<|" not in text:
         text = text.encode().lower().decode()
     return text.split()
 
@@ -52,52 +73,88 @@ class Memo:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.flat = array("I")
         self.start = array("q")
         self.length = array("q")
-        self.met = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(0, np.int64)
+        self.size = 0
 
     def _trim(self) -> None:
-        """Keeps the chunks met most often, at most half of ``KEEP``, and none that was met once."""
-        n, most = len(self.start), KEEP // 2
-        met, old, flat, start, length = self.met[:n], self.index, self.flat, self.start, self.length
-        least = max(2, int(np.partition(met, n - most)[n - most])) if n > most else 2
+        """Keeps the chunks met most often, about a third of the bytes, and none that was met once."""
+        n = len(self.start)
+        met = np.concatenate([self.met, np.zeros(max(0, n - len(self.met)), np.int64)])[:n]
+        most = min(max(1, n // 3), KEEP_BYTES // (3 * _ENTRY))
+        keep = np.flatnonzero(met >= max(2, int(np.partition(met, n - most)[n - most])))
+        start, length = np.frombuffer(self.start, np.int64)[keep], np.frombuffer(self.length, np.int64)[keep]
+        ends = np.cumsum(length)
+        flat = np.frombuffer(self.flat, np.uint32)[np.repeat(start - (ends - length), length) + np.arange(length.sum())]
+        names, met = list(self.index), met[keep] // 2  # the index is in the order of its numbers
+        kept = [names[i] for i in keep.tolist()]
         self._clear()
-        for chunk, i in old.items():
-            if met[i] >= least:
-                self._put(chunk, flat[start[i] : start[i] + length[i]])
-                self.met[self.index[chunk]] = met[i] // 2
+        self.index = dict(zip(kept, range(len(kept))))
+        self.flat, self.start, self.length = array("I", flat.tobytes()), array("q", (ends - length).tobytes()), array("q", length.tobytes())
+        self.met = met
+        self.size = sum(len(x) for x in kept if isinstance(x, str)) + _ENTRY * len(kept) + 4 * len(flat)
 
     def _put(self, chunk: str, ids) -> None:
-        n = len(ids)
-        if len(self.start) >= len(self.met):
-            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), n), np.uint32)])
-        self.flat[self.used : self.used + n] = ids
         self.index[chunk] = len(self.start)
-        self.start.append(self.used)
-        self.length.append(n)
-        self.used += n
+        self.start.append(len(self.flat))
+        self.length.append(len(ids))
+        self.flat.extend(ids)
+        self.size += _ENTRY + (len(chunk) if isinstance(chunk, str) else 0) + 4 * len(ids)
+
+    def _known(self, chunk: str) -> array | None:
+        i = self.index.get(chunk)
+        return None if i is None else self.flat[self.start[i] : self.start[i] + self.length[i]]
 
     def look_up(self, flat: list[str], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks, and how many there are before each place in ``last``."""
-        which = list(map(self.index.get, flat))
-        missing = [k for k, i in enumerate(which) if i is None]
-        new = list(dict.fromkeys([flat[k] for k in missing]))
-        for i in range(0, len(new), 20_000):
-            self._add(new[i : i + 20_000])
-        for k in missing:
-            which[k] = self.index[flat[k]]
-        which = np.array(which, np.int64)
+        which = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            unseen = [flat[k] for k in missing.tolist()]
+            self._add(list(dict.fromkeys(unseen)))
+            which[missing] = [self.index[x] for x in unseen]
         seen = np.bincount(which)
+        if len(seen) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros(2 * len(seen), np.int64)])
         self.met[: len(seen)] += seen
         start, length = np.frombuffer(self.start, np.int64)[which], np.frombuffer(self.length, np.int64)[which]
         ends = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
         return ids, ends[np.array(last, np.int64)]
 
+    def encode_slices(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of rows (each an iterable of lists of chunks) one after the other, and each row's number of
+        ids. At most about ``LOOK_UP`` chunks are held at once."""
+        out, sizes = [], []
+        flat: list = []
+        owner: list[int] = []
+        last: list[int] = []
+
+        def flush() -> None:
+            ids, ends = self.look_up(flat, last)
+            if self.size > KEEP_BYTES:
+                self._trim()
+            out.append(ids)
+            np.add.at(total, np.array(owner), np.diff(ends, prepend=0))
+            flat.clear(), owner.clear(), last.clear()
+
+        total = np.zeros(0, np.int64)
+        for n, row in enumerate(rows):
+            if n == len(total):
+                total = np.concatenate([total, np.zeros(max(512, n), np.int64)])
+            for chunks in row:
+                flat += chunks
+                owner.append(n)
+                last.append(len(flat))
+                if len(flat) > LOOK_UP:
+                    flush()
+            sizes.append(n)
+        if flat:
+            flush()
+        return np.concatenate(out) if out else np.empty(0, np.uint32), total[: len(sizes)]
+
 
 class Encoder(Memo):
     """Ids of texts by a tokenizers file; ``chunks`` splits a text, or says None if it must stay whole."""
@@ -107,56 +164,83 @@ class Encoder(Memo):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunks = chunks
         self.part = self.tokenizer.token_to_id(_PART)
+        # the printable stand-ins of bytes that byte-level models are written in
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.shown = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
+
+    def _pretoken(self, text: str) -> list[int]:
+        """A pretoken goes straight to the library's model, for nothing before it changes such a one."""
+        if self.chunks is word_chunks:
+            text = text.lower()
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
+
+    def _pretoken_known(self, text: str):
+        ids = self._known(text)
+        if ids is None:
+            ids = self._pretoken(text)
+            self._put(text, ids)
+        return ids
 
     def _add(self, new: list[str]) -> None:
-        """Unseen chunks go to the library many at a time, parted by a special token, which the library takes out
-        of a text before it looks at the rest."""
-        plain = [x for x in new if "<|" not in x and "|>" not in x]
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
+        """Plain chunks are put together of their pretokens; the others go to the library many at a time, parted
+        by a special token, which it takes out of a text before it looks at the rest."""
+        other, marked = [], []
+        match, known, put = _PLAIN.fullmatch, self._pretoken_known, self._put
+        for x in new:
+            if x in self.index:  # put meanwhile, as a part of another
+                continue
+            if m := match(x):
+                line, core, marks = m.groups()
+                ids = known(core)
+                if line or marks:
+                    ids = array("I", ids)
+                    if line:
+                        ids = array("I", known(line)) + ids
+                    if marks:
+                        ids.extend(known(marks))
+                    put(x, ids)
+            elif "<|" in x or "|>" in x:
+                marked.append(x)
+            else:
+                other.append(x)
+        for i in range(0, len(other), 500):
+            some = other[i : i + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([_PART.join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.part)
             for x, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self._put(x, ids[a:b])
-        for x in new:
-            if "<|" in x or "|>" in x:
-                self._put(x, self.tokenizer.encode(x, add_special_tokens=False).ids)
+                put(x, ids[a:b].tolist())
+        for x in marked:
+            put(x, self.tokenizer.encode(x, add_special_tokens=False).ids)
+
+    def _row(self, text: str, end: int):
+        for part in slices(text):
+            chunks = self.chunks(part)
+            yield chunks if chunks is not None else [part] if part else []
+        if end not in self.index:  # the end id is kept like a chunk, under its number
+            self._put(end, [end])
+        yield (end,)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, ``end`` after each text, and each text's number of ids."""
-        if len(self.index) > KEEP:
-            self._trim()
-        if end not in self.index:  # the end id is kept like a chunk, under its number
-            self._put(end, [end])
-        flat, last = [], []
-        for x in texts:
-            parts = self.chunks(x)
-            if parts is not None:
-                flat += parts
-            elif x:
-                flat.append(x)
-            flat.append(end)
-            last.append(len(flat))
-        ids, ends = self.look_up(flat, last)
-        return ids, np.diff(ends, prepend=0)
+        return self.encode_slices(self._row(x, end) for x in texts)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, chunks) -> Encoder:
-    """One encoder for each file in a worker process, kept between tasks."""
+    """One encoder for each file in a worker process, kept between tasks of the same work."""
     key = (path, chunks.__name__)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, chunks)
     return _ENCODERS[key]
 
 
-def release() -> None:
-    """Frees the memos of a worker that goes on to other work."""
-    _ENCODERS.clear()
+on_change(_ENCODERS.clear)
 
 
 def str_texts(column) -> list[str]:
