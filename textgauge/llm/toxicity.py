@@ -2,16 +2,18 @@
 
 1. Voters: single words and word stems (the first 4 and 5 letters), once, or at least 2 or 4 times, that are far more frequent in the training
    rows labelled toxic, and patterns (a general lexicon of insults, a second person next to one, shouting).
-   A voter that matches a text votes toxic, else it abstains; where all
-   abstain, one more voter speaks for the other class.
+   Such a voter that matches a text votes toxic, else it abstains. Two voters vote for the other class: one where
+   no toxic voter matches, one where at most one does.
 2. A generative label model: each voter fires with one rate for each class. The rates, the class balance and
-   the correlations of voters given the class are estimated by expectation maximisation from the votes;
+   the correlations of voters given the class are estimated by expectation maximisation from the votes alone: it starts
+   from the share of toxic votes among a text's votes, and no label enters it;
    correlated voters share their weight, so that a stem and its words don't count as independent.
 3. A linear classifier (logistic regression with ridge penalty) on words and stems is trained on the label
    model's posteriors and then scores every whole text.
 
-Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0. At most ``MAX_FIT`` labelled rows are
-used (those of the smallest hash of their id), which bounds all that reaches the driver. Scores use the text alone.
+Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0, and only choose voters and features. At most ``MAX_FIT`` labelled rows are
+used (those of the smallest hash of their id), which bounds all that reaches the driver; features and voters are all
+those over the thresholds below, without a number of their own. Scores use the text alone.
 
 A null or empty text has no features and the score of the intercept. Without training rows of both labels
 every score is the share of toxic rows (0 without any). Rows repeating an id are scored each for itself; a null
@@ -28,22 +30,31 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import fold, saved
+from textgauge.llm.common import fold, saved, tidy
 from textgauge.llm.tokens import str_texts
 
-#: Bounds of the fit: labelled rows, candidate features, voters.
+#: The bound of the fit: labelled rows.
 MAX_FIT = 20_000
-MAX_FEATURES = 2_000
-MAX_VOTERS = 256
 MIN_SUPPORT = 3
-#: Log odds ratio of a voter, at least.
+#: z of a feature's log odds ratio, at least; log odds ratio of a voter, at least.
+MIN_Z = 2.0
 MIN_ODDS = 3.5
 RIDGE = 0.3
 _MEMO = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Insults of everyday language, as a voter beside those found in the data.
-INSULTS = frozenset("idiot idiots moron stupid loser losers pathetic worthless disgusting trash scum clown dumb fool filthy idiota estúpido imbécil basura dummkopf trottel abschaum idiote crétin ordure".split())
+#: Insults of everyday language in four languages, as a voter beside those found in the data.
+INSULTS = frozenset(
+    # English
+    "idiot idiots idiotic moron morons moronic imbecile stupid stupidity dumb dumbass fool fools foolish loser losers pathetic worthless disgusting trash garbage scum clown clowns filthy filth "
+    "vermin parasite parasites pig pigs coward cowards freak freaks creep creeps jerk jerks bastard bastards scumbag lowlife ugly retard retarded lunatic psycho "
+    # Spanish
+    "idiota idiotas estúpido estúpida estúpidos imbécil imbéciles basura tonto tonta tontos payaso payasos asqueroso asquerosa escoria inútil cobarde cerdo cerdos maldito maldita "
+    # German
+    "dummkopf dummköpfe trottel abschaum idioten vollidiot blödmann arschloch dreckig versager widerlich schwachkopf feigling schwein müll erbärmlich wertlos "
+    # French
+    "idiote idiots idiotes crétin crétins crétine imbécile imbéciles ordure ordures abruti abrutis débile minable dégoûtant dégoûtante salaud lâche clown nul nulle pourriture".split()
+)
 _SECOND = frozenset("you your you're du dein tu ton toi tú usted vous ihr".split())
 
 
@@ -94,37 +105,39 @@ def _rows(index: dict[str, int]):
                 words = _WORD.findall(text.lower())
                 out.append(sorted({i for f in counted(words) if (i := index.get(f)) is not None}))
                 marks.append(list(patterns(text, words)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_())), batch.column(1)], ["found", "patterns", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_()))], ["found", "patterns"])
 
     return run
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Posteriors of the toxic class from votes (rows x voters, 0 or 1) by expectation maximisation.
+def label_model(toxic: np.ndarray, other: np.ndarray, steps: int = 100) -> tuple[np.ndarray, dict]:
+    """Posteriors of the toxic class, and what was estimated, from votes (rows x voters, true where a voter speaks)
+    for the toxic and for the other class, by expectation maximisation.
 
-    ``start`` are first posteriors; their class balance stays, and their rates count as much as the votes', for
-    voters that abstain on most rows tell too little to keep the classes apart. Given the class, the residual correlation of two voters lowers the weight
-    of both: a voter weighs 1 / (1 + its positive correlations)."""
-    p = np.clip(start, 0.02, 0.98)
-    v = np.column_stack([votes, ~votes.any(axis=1)]).astype(float)  # the last voter fires where all abstain
-    n = len(v)
-    balance = np.clip(start.mean(), 1e-3, 0.5)
-    prior1, prior0 = (start @ v + 0.5) / (start.sum() + 1), ((1 - start) @ v + 0.05) / (n - start.sum() + 1)
+    First posteriors are the share of toxic votes in a row. A voter's rate in a class is the share of the class's rows in which it speaks.
+    Given the class, a residual correlation of two voters over 0.4 lowers the weight of both: a voter weighs
+    1 / (1 + the sum of such correlations)."""
+    toxic = toxic[:, toxic.any(axis=0)]  # a voter that never speaks tells nothing
+    v = np.column_stack([toxic, other]).astype(np.float32)
+    together = (v.T @ v).astype(float)
+    p = np.clip(toxic.sum(axis=1) / np.maximum(1, toxic.sum(axis=1) + other.sum(axis=1)), 0.02, 0.98)
     for _ in range(steps):
-        rate1 = np.clip((p @ v + start.sum() * prior1) / (p.sum() + start.sum()), 1e-6, 1 - 1e-6)
-        rate0 = np.clip(((1 - p) @ v + (n - start.sum()) * prior0) / (2 * n - p.sum() - start.sum()), 1e-6, 1 - 1e-6)
-        rest = v - (p[:, None] * rate1 + (1 - p)[:, None] * rate0)
-        spread = np.sqrt((rest**2).mean(axis=0) + 1e-9)
-        correlation = (rest.T @ rest) / n / np.outer(spread, spread)
+        rate1, rate0 = (p @ v + 0.5) / (p.sum() + 1), ((1 - p) @ v + 0.5) / ((1 - p).sum() + 1)
+        balance = np.clip(p.mean(), 1e-3, 0.5)
+        # the residuals v - p rate1 - (1 - p) rate0, multiplied out
+        both, rates = np.column_stack([p, 1 - p]), np.stack([rate1, rate0])
+        cross = (v.T @ both) @ rates
+        correlation = (together - cross - cross.T + rates.T @ (both.T @ both) @ rates) / len(v)
+        spread = np.sqrt(np.maximum(np.diag(correlation), 0) + 1e-9)
+        correlation = correlation / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
         weight = 1 / (1 + np.where(correlation > 0.4, correlation, 0).sum(axis=1))
-        fire = weight * np.log(rate1 / rate0)
-        logit = np.log(balance / (1 - balance)) + v @ fire
+        logit = np.log(balance / (1 - balance)) + v @ (weight * np.log(rate1 / rate0))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
-            return new
-        p = new
-    return p
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-6:
+            break
+    return p, {"balance": balance, "rate1": rate1, "rate0": rate0, "weight": weight}
 
 
 def ridge_logistic(rows: list[list[int]], target: np.ndarray, size: int, ridge: float = RIDGE, steps: int = 1500) -> tuple[float, np.ndarray]:
@@ -160,14 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     if not n1 or not n0:
         share = n1 / max(1, n1 + n0)
         return (-30.0 if not share else 30.0), {}
-    counts = rows.mapInArrow(_support, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = rows.mapInArrow(tidy("toxicity", _support), "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = counts.filter(F.col("a") + F.col("b") >= MIN_SUPPORT)
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = counts.withColumn("odds", odds).withColumn("z", z).filter("a > 0").orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()
+    top = counts.withColumn("odds", odds).withColumn("z", z).filter((F.col("a") > 0) & (F.col("z") > MIN_Z)).orderBy(F.col("z").desc(), "feature").collect()
     names = [r["feature"] for r in top]
-    voters = [i for i, r in enumerate(top) if r["odds"] > MIN_ODDS and r["a"] >= MIN_SUPPORT][:MAX_VOTERS]
-    data = rows.mapInArrow(_rows({f: i for i, f in enumerate(names)}), "found array<int>, patterns array<boolean>, toxic boolean").collect()
+    voters = [i for i, r in enumerate(top) if r["odds"] > MIN_ODDS and r["a"] >= MIN_SUPPORT]
+    data = rows.mapInArrow(tidy("toxicity", _rows({f: i for i, f in enumerate(names)})), "found array<int>, patterns array<boolean>").collect()
+    data.sort(key=lambda r: (r["found"], r["patterns"]))  # the fit doesn't depend on the order of rows
     found = [r["found"] for r in data]
     votes = np.zeros((len(data), len(voters) + 3), bool)
     place = {i: k for k, i in enumerate(voters)}
@@ -176,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
             if i in place:
                 votes[row, place[i]] = True
         votes[row, len(voters) :] = r["patterns"]
-    posterior = label_model(votes, np.array([float(r["toxic"]) for r in data]))
+    spoken = votes.sum(axis=1)
+    posterior, _ = label_model(votes, np.column_stack([spoken == 0, spoken <= 1]))
     intercept, weights = ridge_logistic(found, posterior, len(names))
     return intercept, {f: float(w) for f, w in zip(names, weights)}
 
@@ -211,5 +226,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted: one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     intercept, weights = fit(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
-    scored = docs.mapInArrow(_score(intercept, weights), "doc_id long, score double")
+    scored = docs.mapInArrow(tidy("toxicity", _score(intercept, weights)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
