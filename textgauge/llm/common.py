@@ -109,6 +109,16 @@ def fold(doc_id) -> "F.Column":
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
+def language(column: str) -> "F.Column":
+    """The language's code in lower case; null is ``und``."""
+    return F.coalesce(F.lower(F.col(column)), F.lit("und"))
+
+
+def text_key(column: str) -> "F.Column":
+    """A hash of a text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -12,9 +12,9 @@ suffixes masks, so all of the model is counts in tables joined by keys.
    joins by n-gram and context, sharded by these keys.
 3. Scores: texts are dealt into blocks of about ``BLOCK`` bytes, compressed on the way; each block's distinct
    n-grams join the model and come back to the block, which adds up the log probabilities of its texts.
-4. Thresholds: the ``QUANTILE`` of the perplexities of held-out trusted texts of the language, times
-   ``MARGIN``; languages with fewer than ``MIN_CALIBRATION`` such texts take the quantile over all
-   languages. A text of fewer than ``MIN_BYTES`` bytes is kept, as is every text when nothing was trusted.
+4. Thresholds: the ``QUANTILE`` of the perplexities of held-out trusted texts of the language. It is no language's largest
+   value, for languages with fewer than ``MIN_CALIBRATION`` such texts take the quantile over all languages. Short
+   texts' perplexities spread widely: one of fewer than ``MIN_BYTES`` bytes neither calibrates nor is rejected. Every text is kept when nothing was trusted.
 
 A null text counts as empty. Rows repeating an id are scored each for itself; null ids are scored and never
 trusted; an id labelled several times is trusted if one label says so. An empty table gives an empty
@@ -27,16 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import fold, saved, texts_of, tidy
+from textgauge.llm.common import fold, language, saved, text_key, texts_of, tidy
 
 ORDER = 5
 BLOCK = 16 << 20
 QUANTILE = 0.995
-MARGIN = 1.25
-MIN_CALIBRATION = 100
-MIN_BYTES = 40
+MIN_CALIBRATION = 400
+MIN_BYTES = 200
 #: Trusted ids go to the scan as a broadcast up to so many, else by a join.
 BROADCAST_IDS = 4_000_000
+#: Bytes that a row counts in its block beside its text.
+ROW = 64
 _CHUNK = 1 << 20
 _FLUSH = 1 << 19
 
@@ -142,50 +143,51 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("g", F.log("p").cast("float").alias("logp"))
 
 
-def _blobs(n_blocks: int):
-    """Texts of a task gathered by block and compressed."""
+_LISTS = {"ids": "bigint", "keys": "bigint", "langs": "string", "copies": "bigint", "sizes": "bigint"}
 
-    def run(batches):
-        import pyarrow as pa
-
-        def out(waiting):
-            blocks, rows, langs, sizes, blobs = [], [], [], [], []
-            for b, own in waiting.items():
-                blocks.append(b)
-                rows.append([x[0] for x in own])
-                langs.append([x[1] for x in own])
-                sizes.append([len(x[2]) for x in own])
-                blobs.append(pa.compress(b"".join(x[2] for x in own), codec="zstd", asbytes=True))
-            for i in range(0, len(blocks), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 64], pa.int32()), pa.array(rows[i : i + 64], pa.list_(pa.int64())), pa.array(langs[i : i + 64], pa.list_(pa.string())), pa.array(sizes[i : i + 64], pa.list_(pa.int64())), pa.array(blobs[i : i + 64], pa.binary())], ["block", "ids", "langs", "sizes", "data"])
-
-        waiting, size = {}, 0
-        for batch in batches:
-            for b, i, lang, t in zip(*(batch.column(k).to_pylist() for k in range(3)), texts_of(batch.column(3))):
-                waiting.setdefault(b, []).append((i, lang, t))
-                size += len(t) + 64
-            if size > 24 << 20:
-                yield from out(waiting)
-                waiting, size = {}, 0
-        yield from out(waiting)
-
-    return run
 
+def _blobs(batches):
+    """Texts of a task gathered by block and compressed; rows that are equal in id, language and text once, with their number."""
+    import pyarrow as pa
 
-def _unpacked(table) -> tuple[list, list[bytes]]:
-    """(id, language) pairs and texts."""
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+
+    def out(waiting):
+        blocks = list(waiting)
+        for i in range(0, len(blocks), 64):
+            some = [[(*row, n, len(text)) for (*row, text), n in waiting[b].items()] for b in blocks[i : i + 64]]
+            blobs = [pa.compress(b"".join(text for *_, text in waiting[b]), codec="zstd", asbytes=True) for b in blocks[i : i + 64]]
+            lists = [pa.array([[x[k] for x in own] for own in some], pa.list_(kinds[t])) for k, t in enumerate(_LISTS.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 64], pa.int32()), *lists, pa.array(blobs, pa.binary())], ["block", *_LISTS, "data"])
+
+    waiting: dict[int, dict] = {}
+    size = 0
+    for batch in batches:
+        for b, *row, text in zip(*(batch.column(k).to_pylist() for k in range(4)), texts_of(batch.column(4))):
+            own = waiting.setdefault(b, {})
+            row = (*row, text)
+            if row not in own:
+                size += len(text) + ROW
+            own[row] = own.get(row, 0) + 1
+        if size > 24 << 20:
+            yield from out(waiting)
+            waiting, size = {}, 0
+    yield from out(waiting)
+
+
+def _unpacked(table) -> tuple[dict[str, list], list[bytes]]:
+    """The lists and the texts of a block."""
     import pyarrow as pa
 
-    ids, texts = [], []
-    for i, n, data in zip((zip(*x) for x in zip(table["ids"].to_pylist(), table["langs"].to_pylist())), table["sizes"].to_pylist(), table["data"].to_pylist()):
-        total = sum(n)
+    lists = {c: [x for own in table[c].to_pylist() for x in own] for c in _LISTS}
+    texts = []
+    for sizes, data in zip(table["sizes"].to_pylist(), table["data"].to_pylist()):
+        total, at = sum(sizes), 0
         whole = pa.decompress(data, decompressed_size=total, codec="zstd", asbytes=True) if total else b""
-        at = 0
-        for x, size in zip(i, n):
-            ids.append(x)
+        for size in sizes:
             texts.append(whole[at : at + size])
             at += size
-    return ids, texts
+    return lists, texts
 
 
 def _distinct(order: int):
@@ -209,7 +211,7 @@ def _sums(order: int):
     def run(left, right):
         import pyarrow as pa
 
-        ids, texts = _unpacked(left)
+        lists, texts = _unpacked(left)
         g, logp = right["g"].to_numpy(), right["logp"].to_numpy().astype(np.float64)
         by = np.argsort(g)
         g, logp = g[by], logp[by]
@@ -222,38 +224,43 @@ def _sums(order: int):
             n.append(sizes)
         total = np.concatenate(total) if total else np.empty(0)
         n = np.concatenate(n) if n else np.empty(0, np.int64)
-        return pa.table({"row": pa.array([x for x, _ in ids], pa.int64()), "lang": pa.array([x for _, x in ids], pa.string()), "n_bytes": pa.array(n - 1, pa.int64()), "perplexity": pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64())})
+        copies = np.array(lists["copies"], np.int64)
+        perplexity = np.exp(-total / np.maximum(n, 1))
+        same = pa.array(np.repeat(np.arange(len(copies)), copies))
+        whole = pa.table({"row": pa.array(lists["ids"], pa.int64()), "text_key": pa.array(lists["keys"], pa.int64()), "lang": pa.array(lists["langs"], pa.string()), "n_bytes": pa.array(n - 1, pa.int64()), "perplexity": pa.array(perplexity, pa.float64())})
+        return whole.take(same)
 
     return run
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity) of every row of docs (doc_id, lang, text), by the model of the trusted ids."""
+    """(doc_id, text_key, lang, n_bytes, perplexity) of every row of docs (doc_id, lang, text), by the model of the trusted ids."""
     n_ids = trusted.count()
     ids = trusted.select("doc_id", F.lit(True).alias("trusted"))
     known = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left")
     flagged = known.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counted = flagged.mapInArrow(tidy("kn", _counts(order)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     probabilities = model(saved(counted, "kn-ngrams"), order)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW)).first()[0] or 0
     n_blocks = int(max(1, -(-size // BLOCK)))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "lang", "text")
-    blocks = dealt.mapInArrow(tidy("kn", _blobs(n_blocks)), "block int, ids array<bigint>, langs array<string>, sizes array<bigint>, data binary")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", text_key("text").alias("key"), "lang", "text")
+    lists = ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
+    blocks = dealt.mapInArrow(tidy("kn", _blobs), f"block int, {lists}, data binary")
     some = blocks.groupBy("block").applyInArrow(_distinct(order), "block int, g long")
     needed = some.join(probabilities, "g").select("block", "g", "logp")
-    scored = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_sums(order), "row long, lang string, n_bytes long, perplexity double")
+    scored = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_sums(order), "row long, text_key long, lang string, n_bytes long, perplexity double")
     return scored.withColumnRenamed("row", "doc_id")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, kept: one row per document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.lower(F.col(lang_col)), F.lit("und")).alias("lang"))
+    """doc_id, text_key, lang, n_bytes, perplexity, threshold, kept: one row per document."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), language(lang_col).alias("lang"))
     good = saved(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null and quality = 1").select("doc_id").distinct(), "kn-good")
     scored = saved(perplexities(docs, good.filter(fold("doc_id") != 0)), "kn-scored")
     held = saved(scored.filter(F.col("n_bytes") >= MIN_BYTES).join(good.filter(fold("doc_id") == 0), "doc_id").select("lang", "perplexity"), "kn-held")
-    at = F.percentile_approx("perplexity", QUANTILE, 10_000) * MARGIN
+    at = F.percentile_approx("perplexity", QUANTILE, 10_000)
     overall = held.agg(at.alias("t")).first()["t"]
     own = held.groupBy("lang").agg(at.alias("t"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CALIBRATION).select("lang", F.col("t").alias("own"))
     judged = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
     kept = F.col("threshold").isNull() | (F.col("n_bytes") < MIN_BYTES) | (F.col("perplexity") <= F.col("threshold"))
-    return judged.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
+    return judged.select("doc_id", "text_key", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
