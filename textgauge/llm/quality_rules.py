@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textgauge.llm.common import saved, texts_of, tidy
 
@@ -33,7 +34,7 @@ GUARD_CHARS = 100
 GUARD_WORDS = 30
 GUARD_REFERENCE = 2000
 #: A text fails over these distances.
-MAX_CHARS = 0.35
+MAX_CHARS = 0.32
 MAX_WORDS = 0.52
 
 #: Character classes of UTF-8 bytes; bytes inside a character count nothing.
@@ -101,6 +102,14 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
+
+
+def plain(word: bytes) -> bytes:
+    """A word as it counts in a histogram, in a reference's as in a text's: without one mark at its end."""
+    return word[:-1] if len(word) > 1 and word.endswith(_MARKS) else word
+
+
 def _count(batches):
     """Words and character classes by language, added up within a task."""
     from collections import Counter
@@ -112,7 +121,10 @@ def _count(batches):
 
     def out():
         lang, term, n = [], [], []
-        for k, c in words.items():
+        for k, raw in words.items():
+            c: Counter = Counter()
+            for w, times in raw.items():
+                c[plain(w)] += times
             lang.extend([k] * len(c))
             term.extend(c.keys())
             n.extend(c.values())
@@ -155,10 +167,8 @@ def _judge(refs: dict[str, dict]):
     tables = {}
     for lang, ref in refs.items():
         order = sorted(ref["words"], key=lambda w: (-ref["words"][w], w))
-        index = {}
-        for i, w in enumerate(order):
-            for tail in (b"", b".", b",", b";", b":", b"!", b"?"):
-                index.setdefault(w + tail, i)
+        # all words that ``plain`` turns into a common word
+        index = {t: i for i, w in enumerate(order) for t in (w, *(w + mark for mark in _MARKS)) if plain(t) == w}
         share = np.array([ref["words"][w] for w in order], float) / max(ref["total"], 1)
         tables[lang] = (index, np.append(share, max(0.0, 1 - share.sum())), ref["classes"] / max(ref["classes"].sum(), 1), ref["total"] >= GUARD_REFERENCE)
 
@@ -218,6 +228,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     follow, named ``c_<name>``."""
     code = F.lower(F.col(lang_col))
     lang = F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise("und")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
-    schema = SCHEMA + "".join(f", c_{c} {docs.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"), *(F.col(f"`{c.replace('`', '``')}`").alias(f"c_{c}") for c in carry))
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *(docs.schema[f"c_{c}"] for c in carry)])
     return docs.mapInArrow(tidy("rules", _judge(references(docs))), schema)
