@@ -124,22 +124,26 @@ def _scan(batches):
         )
 
 
-def _redact(batches):
-    import pyarrow as pa
+def _redact(i: int):
+    """Replaces the texts of column ``i``."""
 
-    for batch in batches:
-        texts = []
-        for value, null in zip(str_texts(batch.column("text")), batch.column("text").is_null().to_pylist()):
-            base = base_spans(value)
-            out, at = [], 0
-            for start, kind, end in sorted(base + linked_spans(value, base)):
-                if end > at:
-                    out += [value[at : max(start, at)], f"[{KINDS[kind].upper()}]" if start >= at else ""]
-                    at = end
-            texts.append(None if null else "".join([*out, value[at:]]))
-        i = batch.schema.get_field_index("text")
-        arrays = [pa.array(texts, pa.string()) if k == i else batch.column(k) for k in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for value, null in zip(str_texts(batch.column(i)), batch.column(i).is_null().to_pylist()):
+                base = base_spans(value)
+                out, at = [], 0
+                for start, kind, end in sorted(base + linked_spans(value, base)):
+                    if end > at:
+                        out += [value[at : max(start, at)], f"[{KINDS[kind].upper()}]" if start >= at else ""]
+                        at = end
+                texts.append(None if null else "".join([*out, value[at:]]))
+            arrays = [pa.array(texts, pa.string()) if k == i else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    return run
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,5 +154,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every span that ``scan_secrets`` reports replaced by its kind in brackets; overlapping
-    spans become one mark. Null texts stay null."""
-    return docs.mapInArrow(tidy("secrets", _redact), docs.schema)
+    spans become one mark. Null texts stay null, and all other columns as they are."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold anything
+    out = plain.mapInArrow(tidy("secrets", _redact(docs.columns.index("text"))), plain.schema)
+    return out.toDF(*docs.columns)
