@@ -91,7 +91,7 @@ def test_full_ranking_has_the_full_scores(spark, turns):
 
     scored = ev.evaluate(catalogue.users(spark, turns)).collect()
     want = sorted(((r["final_score"], r["label"], r["id"]) for r in scored), key=lambda x: (-x[0], x[2]))
-    got = sorted(catalogue.queries()["batch_rank_full"](spark, turns).collect(), key=lambda r: r["rank"])
+    got = sorted(catalogue.queries()["batch_rank"](spark, turns).collect(), key=lambda r: r["rank"])
     assert [(r["score"], r["verdict"], r["id"]) for r in got] == want
     assert [r["rank"] for r in got] == list(range(1, len(TURNS) + 1))
     neutral = {r["id"]: r["score"] for r in catalogue.queries()["batch_rank"](spark, turns).collect()}

@@ -1,13 +1,14 @@
 """Metric values of texts written for the purpose, worked out by hand."""
 
 import math
+import random
 
 import pytest
 
 from textgauge.operators import advice, stats
 from textgauge.operators import evaluate as ev
-from textgauge.operators.evaluate import page_rank_cv
 from textgauge.operators.metrics import METRICS
+from textgauge.operators.sentences import page_rank_variation
 
 
 @pytest.fixture(scope="module")
@@ -146,17 +147,17 @@ def test_connectivity_of_a_chain(score):
 
 
 def test_page_rank_of_a_chain():
-    assert page_rank_cv([["x"]]) is None
-    assert 0 < page_rank_cv([["a"], ["b"], ["c"]]) < 1
-    assert page_rank_cv([["a"], ["b"], ["a"]]) != page_rank_cv([["a"], ["b"], ["c"]])
+    assert page_rank_variation([["x"]]) is None
+    assert 0 < page_rank_variation([["a"], ["b"], ["c"]]) < 1
+    assert page_rank_variation([["a"], ["b"], ["a"]]) != page_rank_variation([["a"], ["b"], ["c"]])
 
 
 def test_vectors_of_equal_sentences(spark):
     rows = spark.createDataFrame([(1, "Red cats sleep. Red cats sleep."), (2, "Red cats sleep. Blue dogs run."), (3, "One.")], "id long, text string")
-    got = {r["id"]: (r["coherence"], r["topic_focus"]) for r in ev.vectors(rows).collect()}
+    got = {r["id"]: (r["coherence"], r["topic_focus"]) for r in ev.with_metrics(rows, wanted=["vectors"]).select("id", "vectors.*").collect()}
     assert got[1] == pytest.approx((1.0, 1.0))
     assert got[2] == pytest.approx((0.0, 1 - 2 * (1 - math.sqrt(0.5))))
-    assert 3 not in got
+    assert got[3] == (None, None)
 
 
 def test_evaluate_is_whole_and_bounded(spark):
@@ -197,14 +198,57 @@ def test_suggestions_and_rewrite(spark):
     got = {r["id"]: r["suggestions"] for r in advice.with_advice(rows).collect()}
     assert got[1][0].startswith("The text is short") and len(got[1]) <= 7
     assert any("several tasks" in s for s in got[2])
-    assert "Task: help" in advice.rewrite(rows).filter("id = 1").first()["rewritten"]
+    shown = {r["id"]: r["rewritten"] for r in advice.rewrite(rows).collect()}
+    assert all("Task: <" in x and "Context: <" in x and "Constraints: <" in x for x in shown.values())
+    assert "help" not in shown[1] and "Persona: You know" in shown[1]
 
 
-def test_bootstrap_of_short_texts(spark):
-    rows = spark.createDataFrame([(1, "One. Two."), (2, "Write a report. It must be short. We are four. Explain why it fell.")], "id long, text string")
+@pytest.mark.parametrize("domain", ["coding", "creative", "analysis", "instructional", "general"])
+def test_rewrite_by_domain(spark, domain):
+    rows = spark.createDataFrame([(1, domain, 0.5, 0.5, 0.5), (2, domain, 0.6, 0.6, 0.6)], "id long, domain string, persona_signal double, output_schema double, few_shot_quality double")
+    shown = {r["id"]: r["rewritten"] for r in advice.rewrite(rows).collect()}
+    assert advice.PERSONAS[domain] in shown[1] and "Persona" not in shown[2]
+    assert ("Schema" in shown[1]) == (domain == "coding") and "Schema" not in shown[2]
+    assert "Examples" in shown[1] and "Examples" not in shown[2]
+
+
+BOOT = "Write a report. It must be short. We are four. Explain why it fell."
+
+
+def plain_bootstrap(sentences, repetitions, seed):
+    draw = random.Random(seed)
+    for _ in range(repetitions):
+        picks = sorted({draw.randint(0, len(sentences) - 1) for _ in sentences})
+        if len(picks) > 1:
+            yield " ".join(sentences[i] for i in picks)
+
+
+def test_bootstrap(spark):
+    rows = spark.createDataFrame([(1, "One. Two."), (2, BOOT), (3, None)], "id long, text string")
     got = {r["id"]: r for r in advice.bootstrap(rows).collect()}
-    assert got[1]["low"] == got[1]["high"] and got[1]["samples"] == 0
-    assert got[2]["low"] <= got[2]["high"] and got[2]["samples"] >= 5
+    for i in (1, 3):
+        assert got[i]["low"] == got[i]["high"] and (got[i]["samples"], got[i]["score_std"]) == (0, 0.0)
+    samples = list(plain_bootstrap(["Write a report.", "It must be short.", "We are four.", "Explain why it fell."], 30, 42))
+    scores = sorted(r["final_score"] for r in ev.evaluate(spark.createDataFrame(list(enumerate(samples)), "id long, text string")).collect())
+    n, mean = len(scores), sum(scores) / len(scores)
+    assert got[2]["samples"] == n and got[2]["low"] == scores[int(0.025 * n)] and got[2]["high"] == scores[min(n - 1, int(0.975 * n))]
+    assert got[2]["score_std"] == pytest.approx(math.sqrt(sum((s - mean) ** 2 for s in scores) / n), abs=0.006)
+
+
+def test_bootstrap_of_few_samples(spark):
+    rows = spark.createDataFrame([(2, BOOT)], "id long, text string")
+    r = advice.bootstrap(rows, repetitions=4).first()
+    assert 1 <= r["samples"] <= 4 and r["low"] == r["high"] and r["score_std"] == 0.0
+
+
+def test_ranks_over_hot_scores(spark):
+    """Half of the texts share a capped score; ranks are those of a plain sort."""
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 10**6) * 1000 + i, f"text {i:03} " * 20, 12.0 if i % 2 else round(rng.random() * 100, 1), "Poor", "general") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string, final_score double, label string, domain string").repartition(7)
+    got = [(r["rank"], r["id"]) for r in advice.rank_batch(df).collect()]
+    assert sorted(got) == [(n, r[0]) for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])), 1)]
+    assert all(r["preview"].endswith("...") and len(r["preview"]) == 83 for r in advice.rank_batch(df).collect())
 
 
 def test_statistics(spark):
@@ -215,4 +259,11 @@ def test_statistics(spark):
     assert (r["exact"], r["within_one"]) == (0.25, 0.75)
     assert stats.p_value(0.932, 20) == pytest.approx(2.3e-9, rel=0.05)
     assert stats.drift(rows, rows.withColumn("a", rows["a"] + (rows["id"] == 2).cast("int")), "a").count() == 1
-    assert stats.confusion(rows.filter("la <> 'odd'"), "la", "lb").count() == 2
+    table = {r["la"]: r.asDict() for r in stats.confusion(rows, "la", "lb").collect()}
+    assert sum(v for r in table.values() for k, v in r.items() if k != "la") == 4  # no label is left out
+    assert table["Other"]["Poor"] == 1 and table["Good"]["Very Good"] == 1
+    pairs = rows.selectExpr("a AS ours", "b AS judged", "la AS our_label", "lb AS judged_label")
+    r = stats.benchmark(pairs).first()
+    assert (r["n"], r["exact"]) == (4, 0.25) and r["pearson_p"] == pytest.approx(stats.p_value(r["pearson"], 4))
+    ranks = {r["id"]: r["b_rank"] for r in stats.average_ranks(rows.unionByName(rows.withColumn("id", rows["id"] + 10)), "b").collect()}
+    assert ranks == {1: 1.5, 11: 1.5, 2: 3.5, 12: 3.5, 3: 5.5, 13: 5.5, 4: 7.5, 14: 7.5}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from textgauge.functions import lexicons as lex
 from textgauge.functions.dialect import SPARK, Dialect
 from textgauge.operators.evaluate import DIMENSION_LABELS, evaluate, label_expr, score, with_all_metrics
 from textgauge.operators.metrics import METRICS, PILLARS, RULES
+from textgauge.operators.ordering import kept, running
 
 #: Advice by metric: what to do about a low score (under 0.4), and, for some, about a high one (over 0.85). Only
 #: rule-based metrics are looked up: that is what the observed behaviour amounts to (``all_pillars`` for the rest).
@@ -72,21 +74,34 @@ def with_advice(scored: DataFrame, all_pillars: bool = False) -> DataFrame:
     return scored.withColumn("advice", own).withColumn("suggestions", F.concat(short, notice, F.when(F.size("advice") > 0, F.col("advice")).otherwise(weakest))).drop("advice")
 
 
+#: Personas by domain.
+PERSONAS = {
+    "coding": "You are an engineer who has built and run software like this for years.",
+    "creative": "You are a writer with a voice of your own.",
+    "analysis": "You are an analyst who reads data with care.",
+    "instructional": "You are a teacher who makes hard things plain.",
+    "general": "You know this field well.",
+}
+
+
 def rewrite(scored: DataFrame) -> DataFrame:
-    """(id, rewritten): a template with the sections that the text's scores call for; the text itself is cut to
-    300 characters. Context, task and constraints always appear (observed behaviour: their scores aren't found)."""
-    def section(name: str, hint: str, when=None):
-        text = F.lit(f"{name}: {hint}")
+    """(id, rewritten): a template with the sections that the text's scores call for. Context, task and constraints always
+    appear as placeholders, and so the text itself never does (observed behaviour: the scores that would show them are never found)."""
+
+    def section(name: str, hint, when=None):
+        text = F.concat(F.lit(f"{name}: "), hint if not isinstance(hint, str) else F.lit(hint))
         return text if when is None else F.when(when, text)
 
-    body = F.concat(F.lit("Task: "), F.substring("t", 1, 300))
+    persona = F.lit(PERSONAS["general"])
+    for domain, text in PERSONAS.items():
+        persona = F.when(F.col("domain") == domain, text).otherwise(persona)
     parts = [
-        section("Persona", "You are an expert in this field.", F.col("persona_signal") <= 0.5),
-        section("Context", "Describe the situation and what exists already."),
-        body,
-        section("Constraints", "State format, length and limits."),
-        section("Schema", "Name the fields of the output and their types.", (F.col("domain") == "coding") & (F.col("output_schema") < 0.6)),
-        section("Examples", "Show one input with its output.", F.col("few_shot_quality") < 0.6),
+        section("Persona", persona, F.col("persona_signal") < 0.6),
+        section("Context", "<what the situation is and what exists already>"),
+        section("Task", "<what is to be done, as an instruction>"),
+        section("Constraints", "<format, length, readers, what to leave out>"),
+        section("Schema", "<the output's fields and their types>", (F.col("domain") == "coding") & (F.col("output_schema") < 0.6)),
+        section("Examples", "<an input with its output>", F.col("few_shot_quality") < 0.6),
     ]
     return scored.select("id", F.concat_ws("\n\n", *parts).alias("rewritten"))
 
@@ -130,37 +145,46 @@ def ablate_pillars(metrics: DataFrame) -> DataFrame:
     return score(rows).select("id", "pillar", "final_score")
 
 
-def resamples(n: int, repetitions: int, seed: int) -> list[list[int]]:
-    """Index sets of a text of n sentences: draws with replacement, repeats dropped, in order."""
-    draw = random.Random(seed)
-    sets = (sorted({draw.randrange(n) for _ in range(n)}) for _ in range(repetitions))
-    return [s for s in sets if len(s) >= 2]
+def resample(n: int, draws: random.Random) -> list[int]:
+    """The places that n draws with replacement from n hit, in order."""
+    return sorted({draws.randrange(n) for _ in range(n)})
+
+
+def _resampled(repetitions: int, seed: int):
+    def run(sentences: pd.Series) -> pd.Series:
+        out = []
+        for own in sentences:
+            draws, texts = random.Random(seed), []
+            for _ in range(repetitions if len(own) >= 3 else 0):
+                picks = resample(len(own), draws)
+                if len(picks) >= 2:
+                    texts.append(" ".join(own[i] for i in picks))
+            out.append(texts)
+        return pd.Series(out)
+
+    return run
 
 
 def bootstrap(texts: DataFrame, repetitions: int = 30, seed: int = 42) -> DataFrame:
-    """(id, low, high, score_std, samples): scores of texts rebuilt from resampled sentences, rescored as ordinary rows. Texts
-    of fewer than 3 sentences, or with fewer than 5 usable samples, have [score, score] and no spread."""
-    scored = evaluate(texts).select("id", "final_score", "sents", "ns")
-    sizes = [r["ns"] for r in scored.select("ns").filter("ns >= 3").distinct().collect()]  # distinct sentence counts only
-    spark = texts.sparkSession
-    table = spark.createDataFrame([(n, i, s) for n in sizes for i, s in enumerate(resamples(n, repetitions, seed))], "ns long, rep int, picks array<int>")
-    rebuilt = scored.join(table, "ns").select("id", "rep", F.array_join(F.transform("picks", lambda i: F.get("sents", i)), " ").alias("text"))
-    rebuilt = rebuilt.withColumn("key", F.xxhash64("id", "rep"))
-    again = evaluate(rebuilt.select(F.col("key").alias("id"), "text")).select(F.col("id").alias("key"), F.col("final_score").alias("s"))
-    joined = rebuilt.select("id", "key").join(again, "key")
-    spread = joined.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.stddev_pop("s").alias("std"), F.count("*").alias("m")).filter("m >= 5")
-    picks = spread.select("id", F.get("s", F.floor(F.col("m") * 0.025).cast("int")).alias("lo"), F.get("s", F.least(F.floor(F.col("m") * 0.975), F.col("m") - 1).cast("int")).alias("hi"), "std", "m")
+    """(id, low, high, score_std, samples): scores of texts rebuilt from resampled sentences, rescored as ordinary rows. Every text's draws
+    start from the seed. Texts of fewer than 3 sentences have no samples; with fewer than 5 samples the bounds are the score itself, without
+    spread. Bounds have one decimal, the spread two."""
+    scored = kept(evaluate(texts).select("id", "final_score", "sents"))
+    drawn = F.pandas_udf(_resampled(repetitions, seed), "array<string>")("sents")
+    rebuilt = scored.select("id", F.posexplode(drawn).alias("rep", "text")).select(F.struct("id", "rep").alias("id"), "text")
+    again = evaluate(rebuilt).select("id.id", F.col("final_score").alias("s"))
+    spread = again.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.stddev_pop("s").alias("std"), F.count("*").alias("m"))
+    enough = F.col("m") >= 5
+    low, high = F.floor(F.col("m") * 0.025).cast("int"), F.least(F.floor(F.col("m") * 0.975), F.col("m") - 1).cast("int")
+    picks = spread.select("id", "m", F.when(enough, F.get("s", low)).alias("lo"), F.when(enough, F.get("s", high)).alias("hi"), F.when(enough, F.round("std", 2)).alias("std"))
     out = scored.join(picks, "id", "left")
-    return out.select("id", F.coalesce("lo", "final_score").alias("low"), F.coalesce("hi", "final_score").alias("high"), F.round(F.coalesce("std", F.lit(0.0)), 6).alias("score_std"), F.coalesce("m", F.lit(0)).cast("int").alias("samples"))
+    return out.select("id", F.round(F.coalesce("lo", "final_score"), 1).alias("low"), F.round(F.coalesce("hi", "final_score"), 1).alias("high"), F.coalesce("std", F.lit(0.0)).alias("score_std"), F.coalesce("m", F.lit(0)).cast("int").alias("samples"))
 
 
 def rank_batch(scored: DataFrame) -> DataFrame:
-    """The batch report (rank, id, label, preview, score, verdict, domain), best first. Ranks are added up from range
-    partitions: rows are sorted by score in parallel, and a partition's ranks start after those before it."""
-    ordered = scored.withColumn("score", F.col("final_score"))
-    counts = ordered.groupBy("score").agg(F.count("*").alias("n"))  # scores have one decimal: 1001 values at most
-    before = counts.select("score", F.coalesce(F.sum("n").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = Window.partitionBy("score").orderBy("id")
+    """The batch report (rank, id, preview, score, verdict, domain), best first, ties by id. Rows are dealt out by ranges of
+    score and id, so the many texts of a capped score needn't share a task."""
     preview = F.when(F.length("t") > 80, F.concat(F.substring("t", 1, 80), F.lit("..."))).otherwise(F.col("t"))
-    rows = ordered.join(F.broadcast(before), "score").withColumn("rank", F.col("before") + F.row_number().over(own))
-    return rows.select("rank", "id", preview.alias("preview"), "score", F.col("label").alias("verdict"), "domain")
+    rows = scored.select("id", preview.alias("preview"), F.col("final_score").alias("score"), F.col("label").alias("verdict"), "domain")
+    ranked = running(kept(rows), [F.col("score").desc(), F.col("id")], F.lit(1), "before")
+    return ranked.select((F.col("before") + 1).alias("rank"), "id", "preview", "score", "verdict", "domain")

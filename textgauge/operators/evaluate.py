@@ -1,19 +1,17 @@
-"""Scoring a column of texts: metrics, term vectors, discourse graph, rubric, final score."""
+"""Scoring a column of texts: metrics, rubric, domain, final score. All of it needs a text's own row alone, so no text is
+shuffled: one narrow stage of built-in expressions with one Arrow step for what compares sentences."""
 
 from __future__ import annotations
 
 import re
-import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textgauge.functions import lexicons as lex
 from textgauge.functions.dialect import DUCK, SPARK, Dialect
-from textgauge.operators.metrics import METRICS, PROVIDERS, stages
+from textgauge.operators import sentences
+from textgauge.operators.metrics import PROVIDERS, stages
 
 
 def needed(steps: list[dict[str, str]], wanted: list[str] | None) -> list[dict[str, str]]:
@@ -47,6 +45,8 @@ def with_providers(texts: DataFrame, providers: DataFrame | None = None) -> Data
 def step(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds columns that later ones refer to several times. A generator over one struct keeps the optimizer from
     putting each expression into all that refer to it, which would evaluate it again each time; it moves no rows."""
+    if any(e.startswith("@") for e in columns.values()):
+        return rows.withColumns({c: sentences.column(e) for c, e in columns.items()})
     return rows.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
 
 
@@ -58,82 +58,15 @@ def with_metrics(texts: DataFrame, providers: DataFrame | None = None, wanted: l
     return out
 
 
-def vectors_sql(d: Dialect, source: str) -> str:
-    """Coherence and topic focus of ``source`` (id, sents, ns) from TF-IDF vectors of each text's sentences.
-
-    Everything is windowed by id, so one exchange by id serves all of it."""
-    stop = ", ".join(map(d.lit, lex.STOP_WORDS))
-    terms = d.filter(d.all_matches("lower(sent)", r"[\p{L}\p{N}_]{2,}"), "w", f"w NOT IN ({stop})")
-    if d.name == "spark":
-        sentences = f"SELECT id, ns, s, sent FROM {source} LATERAL VIEW posexplode(sents) e AS s, sent WHERE ns > 1"
-        words = f"SELECT id, ns, s, term FROM (SELECT id, ns, s, {terms} AS ws FROM ({sentences})) LATERAL VIEW explode(ws) e AS term"
-    else:
-        sentences = f"SELECT id, ns, u.i - 1 AS s, sents[u.i] AS sent FROM {source}, (SELECT unnest(range(1, 100001)) AS i) u WHERE ns > 1 AND u.i <= ns"
-        words = f"SELECT id, ns, s, unnest(ws) AS term FROM (SELECT id, ns, s, {terms} AS ws FROM ({sentences}))"
-    n = d.number
-    return f"""
-WITH tf AS (SELECT id, ns, s, term, CAST(count(*) AS DOUBLE) AS tf FROM ({words}) GROUP BY id, ns, s, term),
-idf AS (SELECT *, tf * (ln((1 + ns) / CAST(1 + count(*) OVER (PARTITION BY id, term) AS DOUBLE)) + 1) AS raw FROM tf),
-unit AS (SELECT id, ns, s, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, s)) AS w FROM idf),
-near AS (SELECT *, lead(s) OVER (PARTITION BY id, term ORDER BY s) AS s2, lead(w) OVER (PARTITION BY id, term ORDER BY s) AS w2, sum(w) OVER (PARTITION BY id, term) / ns AS m FROM unit),
-terms AS (SELECT id, max(ns) AS ns, sum(CASE WHEN s2 = s + 1 THEN w * w2 ELSE {n(0)} END) AS consecutive, sum(w * m) AS along, sum(m * m / seen) AS centre FROM (SELECT *, count(*) OVER (PARTITION BY id, term) AS seen FROM near) GROUP BY id)
-SELECT id, greatest({n(0)}, least({n(1)}, {n(1.5)} * consecutive / (ns - 1))) AS coherence,
-greatest({n(0)}, least({n(1)}, 1 - 2 * (1 - along / sqrt(centre) / ns))) AS topic_focus FROM terms"""
-
-
-def vectors(texts: DataFrame) -> DataFrame:
-    """(id, coherence, topic_focus) of texts of two sentences or more that have terms."""
-    view = f"sentences_{uuid.uuid4().hex}"
-    with_metrics(texts, wanted=["ns", "sents"]).select("id", "ns", "sents").createOrReplaceTempView(view)
-    return texts.sparkSession.sql(vectors_sql(SPARK, view))
-
-
-def page_rank_cv(content: list, alpha: float = 0.85, most: int = 100) -> float | None:
-    """Variation coefficient of the weighted PageRank over a text's sentence graph: a chain of weight 1, and forward
-    edges between sentences further apart weighted by their shared content words."""
-    n = len(content)
-    if n < 2:
-        return None
-    sets = [frozenset(x) for x in content]
-    weight = np.zeros((n, n))
-    for i in range(n - 1):
-        weight[i, i + 1] = 1
-        for j in range(i + 2, n):
-            weight[i, j] = len(sets[i] & sets[j])
-    out = weight.sum(axis=1)
-    step = np.divide(weight, out[:, None], out=np.zeros_like(weight), where=out[:, None] > 0)
-    hanging = out == 0
-    rank = np.full(n, 1 / n)
-    for _ in range(most):
-        new = alpha * (rank @ step + rank[hanging].sum() / n) + (1 - alpha) / n
-        if np.abs(new - rank).sum() < n * 1e-6:
-            rank = new
-            break
-        rank = new
-    return float(rank.std() / rank.mean())
-
-
-def _rank_variations(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: page_rank_cv(list(x))).astype("float64")
-
-
-def rank_variation(content: str):
-    """``page_rank_cv`` over a column of arrays, in Arrow batches."""
-    return F.pandas_udf(_rank_variations, T.DoubleType())(content)
+def with_all_metrics(texts: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """Texts with all metrics. Texts without term vectors have the fixed scores of that case."""
+    return with_metrics(spread(texts), providers)
 
 
-def with_all_metrics(texts: DataFrame, providers: DataFrame | None = None) -> DataFrame:
-    """All metrics. Texts without term vectors have the fixed scores of that case."""
-    # dealt out by id once: the windows over term vectors and the join below need no other exchange of texts
-    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    rows = with_metrics(texts, providers).withColumn("rank_cv", rank_variation("sent_content"))
-    rows = rows.join(vectors(texts.select("id", "text")), "id", "left")
-    z = (F.col("rank_cv") - 0.4) / 0.3
-    return (
-        rows.withColumn("coherence", F.when(F.col("ns") <= 1, 0.5).otherwise(F.coalesce("coherence", F.lit(0.3))))
-        .withColumn("topic_focus", F.when(F.col("ns") <= 1, 0.5).otherwise(F.coalesce("topic_focus", F.lit(0.5))))
-        .withColumn("centrality", F.when(F.col("ns") <= 1, 0.4).otherwise(F.exp(-0.5 * z * z)))
-    )
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts of fewer partitions than there are cores are dealt out, without a key; others stay where they are."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(2 * cores)
 
 
 def domain_exprs(d: Dialect) -> dict[str, str]:

@@ -2,8 +2,8 @@
 
 ``stages(d)`` lists columns in the order in which they build on each other, from ``text`` to one score in
 [0, 1] for each metric. Metrics that need a linguistic resource read a provider column (``PROVIDERS``); where it is
-null, the documented neutral value or a lexical stand-in counts. Term vectors and the centrality of
-the sentence graph are joined from ``vectors`` and ``discourse``.
+null, the documented neutral value or a lexical stand-in counts. Expressions starting with ``@`` compare the row's sentences
+(``operators.sentences``); the DuckDB side of those is written on its own, over all pairs and as joins.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ PILLARS = {"rule_based": RULES, "semantic_structural": SEMANTIC, "info_theoretic
 METRICS = [m for names in PILLARS.values() for m in names]
 
 
+#: White space, and quotes, within patterns.
+_SPACE = r"[ \t\n\x0B\f\r]"
+_QUOTES = r"'\x22"
+
+
 def _unicode(pattern: str) -> str:
     """``\\w`` and the closing ``\\b`` of a pattern by their Unicode classes."""
     return pattern.replace("[\\w", f"[{WORD}").replace("\\w", f"[{WORD}]").replace("\\b", f"(?:[^{WORD}]|$)")
@@ -97,9 +102,12 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "ns": f"CAST({d.size('sents')} AS BIGINT)",
         "prose": f"trim({d.replace(prose, '[ \t\n\x0B\f\r]+', text=' ')})",
         "sent_low": d.transform("sents", "x", "lower(x)"),
+        # the first word of letters alone
+        "openers": d.transform("sents", "x", d.group("x", rf"(?:^|[^{WORD}])(\p{{L}}+)(?:[^{WORD}]|$)", 1)),
         "sent_wc": d.transform("sents", "x", f"CAST({d.size(d.words('x'))} AS DOUBLE)"),
         # words longer than 2, then without the marks around them
         "sent_sets": d.transform("sents", "x", d.distinct(d.transform(d.filter(d.words("lower(x)"), "w", "length(w) > 2"), "w", d.replace("w", r"^[.,!?;:]+|[.,!?;:]+$", text="")))),
+        "sent_terms": d.transform("sents", "x", d.filter(d.all_matches("lower(x)", r"[\p{L}\p{N}_]{2,}"), "w", f"w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})")),
         "sent_content": d.transform("sents", "x", d.distinct(d.filter(d.all_matches("lower(x)", r"[\p{L}]{3,}"), "w", f"w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})"))),
     }
     kinds = [
@@ -150,14 +158,20 @@ def stages(d: Dialect) -> list[dict[str, str]]:
     fenced = d.group("t", r"(?s)```(?:json)?[ \t\n\x0B\f\r]*(\{.*?\})[ \t\n\x0B\f\r]*```", 1)
     substance = d.size(d.filter(d.all_matches("t", rf"(?im)^(?:{lex.LABELS})[ \t]*:[^\n]*"), "x", f"{d.size(d.filter(d.all_matches(d.replace('lower(x)', '^[^:]*:', text=''), rf'[{WORD}]+'), 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.HOLLOW_WORDS))})'))} >= 3"))
     first = {w: d.group("low", rf"(\p{{Nd}}+)[ \t\n\x0B\f\r]*{w}s?", 1) for w in ("word", "sentence", "page")}
-    edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
-    repeats = _pairs(d, "ns", 1)
+    if d.name == "spark":
+        compared = {"graph": "@sentence_graph(sent_content)", "alike": "@sentence_twins(sent_sets)", "vectors": "@term_vectors(sent_terms)"}
+        edges, repeats = "graph.shared", "alike"
+    else:
+        compared = {}
+        edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
+        repeats = d.size(d.filter(_pairs(d, "ns", 1), "p", f"{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})"))
     five = {
         **{k: f"CAST({d.count('t', p if d.name == 'duck' else p.replace('x{2022}', 'u2022'))} AS BIGINT)" for k, p in layout.items()},
         "paragraphs": f"CAST({d.size(d.filter(d.split('t', '\n\n'), 'x', chr(39).join(['trim(x) <> ', '', ''])))} AS BIGINT)",
         "solid": f"CAST({substance} AS BIGINT)",
         "fence": fenced,
-        "n_numbers": f"CAST({d.count('low', r'(?:^|[^\p{L}\p{N}_])\p{Nd}+(?:\.\p{Nd}+)?(?:%|px|ms|mb|gb|kb)?')} AS BIGINT)",
+        # a number stands between boundaries: not "3rd", "100k"; doubled separators leave one for the next number
+        "n_numbers": f"CAST({d.count('dbl', rf'(?:^|[^{WORD}])\p{{Nd}}+(?:\.\.\p{{Nd}}+)?(?:px|ms|mb|gb|kb)?(?:[^{WORD}]|$)')} AS BIGINT)",
         "n_quoted": f"CAST({d.count('t', r'"[^"]{2,}"')} + {d.count('t', r"'[^']{2,}'")} AS BIGINT)",
         "n_code": f"CAST({d.size(d.filter('words', 'w', d.has('w', code)))} AS BIGINT)",
         "n_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.IMPERATIVES))), 'wl'))} AS BIGINT)",
@@ -166,27 +180,28 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         **{f"c_{k}": d.sum_of([present(d, p) for p in v]) for k, v in lex.CONSTRAINTS.items()},
         "signalled": f"({d.has_word('low', '|'.join(_unicode(p) for p in lex.CONSTRAINT_SIGNALS))})",
         **{f"lim_{w}": f"{d.as_double(x)}" for w, x in first.items()},
-        "one_sentence": d.has_word("low", "(?:one|single) sentence"),
+        "one_sentence": d.has_word("low", f"(?:one|single){_SPACE}+sentence"),
         **{f"tone_{i}": "(" + " AND ".join("(" + " OR ".join(present(d, p) for p in side) + ")" for side in pair) + ")" for i, pair in enumerate(lex.TONE_PAIRS)},
-        "no_examples": d.has_word("low", "(?:do not|don'?t|avoid|never) include (?:any )?examples?"),
-        "examples": d.has_word("low", "(?:include|provide|give|show) (?:an? )?examples?"),
+        "no_examples": d.has_word("low", f"(?:do not|don'?t|avoid|never){_SPACE}+include{_SPACE}+examples?"),
+        "examples": d.has_word("low", f"(?:include|provide|give|show){_SPACE}+examples?"),
         "n_persona": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.PERSONA) + ")",
-        "n_injections": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
+        "n_injections": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('dbl', f'(?:^|[^{WORD}])(?:{_over_doubled(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
         "n_io": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*(?:input|in|q|question|user)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+\n+[ \t\n\x0B\f\r]*(?:output|out|a|answer|assistant|response)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         "n_examples": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*example[ \t\n\x0B\f\r]*\p{Nd}*[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
-        "n_arrows": f"CAST({d.size(d.filter(d.split('t', '\n'), 'x', f"contains(x, '->') AND {d.has('x', r'[^ ].*->.*[^ ]')}"))} AS BIGINT)",
+        # mappings on a line: up to 40 plain characters, an arrow, up to 80 plain characters or brackets
+        "n_arrows": f"CAST({d.size(d.filter(d.transform(d.filter(d.split('t', '\n'), 'x', "contains(x, '->')"), 'x', d.replace('x', f'^{_SPACE}+|{_SPACE}+$')), 'x', d.has('x', rf'^[{WORD} \t\x0B\f\r{_QUOTES}.,]{{1,40}}{_SPACE}*->{_SPACE}*[{WORD} \t\x0B\f\r{_QUOTES}.,\[\]{{}}]{{1,80}}$')))} AS BIGINT)",
         "n_hedges": f"CAST({hits(d, lex.HEDGES)} AS BIGINT)",
         "n_task_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.TASK_VERBS))), 'wl'))} AS BIGINT)",
-        "n_imperatives": f"CAST({d.size(d.filter('sent_low', 'x', d.group('x', r'^[^\p{L}]*(\p{L}+)', 1) + f' IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
+        "n_imperatives": f"CAST({d.size(d.filter('openers', 'w', f'lower(w) IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
         "n_soft": f"CAST({d.size(d.filter('wl', 'w', f'w IN ({', '.join(map(d.lit, lex.SOFTENERS))})'))} AS BIGINT)",
-        "n_caps": f"CAST({d.size(d.filter('words', 'w', d.has('w', r'^\p{Lu}{2,}$')))} AS BIGINT)",
+        "n_caps": f"CAST({d.size(d.filter('openers', 'w', f'length(w) > 2 AND upper(w) = w AND lower(w) IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
         **{f"m_{k}": f"CAST({hits(d, v)} AS BIGINT)" for k, v in lex.DISCOURSE.items()},
         "n_pronouns": f"CAST({d.size(d.filter('wl', 'w', f'w IN ({', '.join(map(d.lit, lex.PRONOUNS))})'))} AS BIGINT)",
         "n_content": f"CAST({d.size(d.distinct(d.filter('wl', 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})')))} AS BIGINT)",
         "gram_runs": f"CASE WHEN n_tokens < 4 THEN NULL ELSE {runs(d, 'grams', 'g')} END",
         "chunk_h": d.transform(d.filter(d.upto("CASE WHEN n_tokens < 10 THEN 0 ELSE CAST(ceil(n_tokens / CAST(chunk AS DOUBLE)) AS BIGINT) END"), "i", "n_tokens - i * chunk >= 3"), "i", entropy(d, d.part("tokens", "i * chunk", "chunk"), "z")),
         "filled": f"CAST({d.size(d.filter('sent_sets', 'x', f'{d.size(chr(120))} > 0'))} AS DOUBLE)",
-        "repeats": f"CAST({d.size(d.filter(repeats, 'p', f'{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})'))} AS DOUBLE)",
+        "repeats": f"CAST({repeats} AS DOUBLE)",
         "edges": f"CAST(greatest(ns - 1, 0) + {edges} AS BIGINT)",
         **{f"mean_{k.lower()}": _mean_place(d, k) for k in ("CONTEXT", "TASK", "CONSTRAINT")},
         "english": f"coalesce(p_english_ratio, {n(1)})",
@@ -247,7 +262,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "safety": f"CASE WHEN n_injections = 0 THEN {n(1)} ELSE greatest({n(0)}, 1 - {n(.3)} * n_injections) END",
         "output_schema": f"CASE WHEN {count} = 0 THEN {n(.5)} ELSE least({n(1)}, {best} + {n(.05)} * ({count} - 1)) END",
         "compound_task_count": _bands("n_task_verbs", [("= 0", .5), ("= 1", .65), ("<= 3", .85), ("<= 6", .95)], .6, d),
-        "imperative_strength": f"CASE WHEN n_imperatives = 0 THEN {n(.4)} ELSE {clamp(f'{n(.7)} + CASE WHEN n_imperatives >= 2 THEN {n(.1)} ELSE 0 END + CASE WHEN n_soft = 0 THEN {n(.1)} WHEN n_soft > n_imperatives THEN {n(-.15)} ELSE 0 END + CASE WHEN n_caps > 0 AND n_caps < wc THEN {n(.05)} ELSE 0 END')} END",
+        "imperative_strength": f"CASE WHEN n_imperatives = 0 THEN {n(.4)} ELSE {clamp(f'{n(.7)} + CASE WHEN n_imperatives >= 2 THEN {n(.1)} ELSE 0 END + CASE WHEN n_soft = 0 THEN {n(.1)} WHEN n_soft > n_imperatives THEN {n(-.15)} ELSE 0 END + CASE WHEN n_caps > 0 AND n_caps < n_imperatives THEN {n(.05)} ELSE 0 END')} END",
         "semantic_density": f"CASE WHEN n_tokens = 0 THEN {n(0)} WHEN short_factor < 1 THEN {n(.5)} + ({clamp(f'{n(2.5)} * {density}')} - {n(.5)}) * short_factor ELSE {clamp(f'{n(2.5)} * {density}')} END",
         "lexical_sophistication": f"CASE WHEN english < {n(.5)} THEN {clamp(f'{n(.3)} * english')} WHEN p_rarity IS NULL THEN {n(.3)} ELSE CASE WHEN typos > 0 THEN greatest({n(.1)}, {n(.3)} + {n(.7)} * p_rarity - {n(.1)} * typos) ELSE {n(.3)} + {n(.7)} * p_rarity END END",
         "sentence_flow": f"CASE WHEN ns <= 1 THEN {n(.5)} WHEN mean_swc = 0 THEN {n(.3)} ELSE {d.gauss('(sqrt(swc_var) / mean_swc)', .45, .3)} END",
@@ -271,7 +286,19 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "information_flow": f"CASE WHEN {flow_types} < 2 THEN {n(.5)} ELSE {passed} / CAST(greatest({checks}, 1) AS DOUBLE) END",
         "complexity": f"CASE WHEN ns = 0 THEN {n(0)} WHEN ns = 1 THEN {n(.3)} ELSE {d.gauss('(edges / CAST(ns AS DOUBLE))', 2.25, 1.5)} END",
     }
-    return [one, two, three, four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
+    if d.name == "spark":
+        scores |= {
+            "coherence": f"CASE WHEN ns <= 1 THEN {n(.5)} ELSE coalesce(vectors.coherence, {n(.3)}) END",
+            "topic_focus": f"CASE WHEN ns <= 1 THEN {n(.5)} ELSE coalesce(vectors.topic_focus, {n(.5)}) END",
+            "centrality": f"CASE WHEN ns <= 1 THEN {n(.4)} ELSE {d.gauss('graph.rank_cv', .4, .3)} END",
+        }
+    return [one, two, three, compared, four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
+
+
+def _over_doubled(pattern: str) -> str:
+    """An injection pattern over a text whose separators are doubled, so that a match leaves the next one its boundary."""
+    out = pattern.removesuffix(r"\s*").replace(r"\b.*\b", rf"[^{WORD}\n].*[^{WORD}\n]").replace(r"\s", _SPACE)
+    return out.replace(r"\b", f"(?:[^{WORD}]|$)").replace(f"{_SPACE}*:", f"{_SPACE}*::").replace(" ", "  ").replace(_SPACE.replace(" ", "  "), _SPACE)
 
 
 def _prefix(pattern: str) -> str:

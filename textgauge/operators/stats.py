@@ -4,24 +4,39 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.operators.ordering import running
+
 BANDS = ["Poor", "Below Average", "Average", "Good", "Very Good", "Excellent"]
 
 
 def average_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """Adds ``<column>_rank``, ties sharing their mean rank. Ranks come from the counts of distinct values."""
+    """Adds ``<column>_rank``, ties sharing their mean rank. Ranks come from the counts of distinct values, added up over ranges of values."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(column, (upto - (F.col("n") - 1) / 2).alias(f"{column}_rank"))
-    return rows.join(ranks, column)
+    before = running(counts, [F.col(column)], F.col("n"), "before")
+    ranks = before.select(F.col(column).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"{column}_rank"))
+    return rows.join(ranks, F.col(column) == F.col("_value")).drop("_value")
+
+
+def _agreements(a: str, b: str) -> list:
+    return [F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_difference")]
+
+
+def _label_agreements(a: str, b: str) -> list:
+    bands = F.array(*map(F.lit, BANDS))
+    place = lambda c: F.array_position(bands, F.col(c)) - 1
+    return [F.avg((F.col(a) == F.col(b)).cast("int")).alias("exact"), F.avg((F.abs(place(a) - place(b)) <= 1).cast("int")).alias("within_one")]
+
+
+def _ranked(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return average_ranks(average_ranks(rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a), b)
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """n, pearson, spearman, mean absolute difference of two score columns."""
-    ranked = average_ranks(average_ranks(rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a), b)
-    return ranked.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_difference"))
+    return _ranked(rows, a, b).agg(*_agreements(a, b))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -62,13 +77,20 @@ def strength(r: str = "r"):
 
 def label_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Shares of equal labels and of labels at most one band apart; unknown labels stand below the first band."""
-    bands = F.array(*map(F.lit, BANDS))
-    place = lambda c: F.array_position(bands, F.col(c)) - 1
-    return rows.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("int")).alias("exact"), F.avg((F.abs(place(a) - place(b)) <= 1).cast("int")).alias("within_one"))
+    return rows.agg(F.count("*").alias("n"), *_label_agreements(a, b))
 
 
 def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.groupBy(a).pivot(b, BANDS).count().fillna(0)
+    """Counts of b's labels (columns) by a's; labels that are no band count as ``Other``."""
+    named = [F.when(F.col(c).isin(BANDS), F.col(c)).otherwise("Other").alias(c) for c in (a, b)]
+    return rows.select(*named).groupBy(a).pivot(b, [*BANDS, "Other"]).count().fillna(0)
+
+
+def benchmark(pairs: DataFrame) -> DataFrame:
+    """(n, pearson, pearson_p, spearman, spearman_p, mean_difference, exact, within_one) of stored score pairs: ours, judged, our_label, judged_label."""
+    p = F.udf(p_value, "double")  # over the one row of the result
+    whole = _ranked(pairs, "ours", "judged").agg(*_agreements("ours", "judged"), *_label_agreements("our_label", "judged_label"))
+    return whole.select("n", "pearson", p("pearson", "n").alias("pearson_p"), "spearman", p("spearman", "n").alias("spearman_p"), "mean_difference", "exact", "within_one")
 
 
 def tier_means(rows: DataFrame, tier: str, *columns: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textgauge.functions.dialect import DUCK, SPARK
 from textgauge.operators import advice, judge, stats
 from textgauge.operators import evaluate as ev
+from textgauge.plans import checks
 from textgauge.operators.metrics import GRAPH, INFORMATION, PILLARS, PROVIDERS, RULES, SEMANTIC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,44 +87,27 @@ def _rounded_sql(names: list[str]) -> str:
     return ", ".join(f"round({c} + 1e-9, {PLACES}) AS {c}" for c in names)  # values in the middle go up in both engines
 
 
-def _dealt(texts: DataFrame) -> DataFrame:
-    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-
-
 def metric_query(names: list[str], table: Callable[[SparkSession, str], DataFrame]) -> Query:
-    return lambda spark, sf_dir: ev.with_metrics(_dealt(table(spark, sf_dir)), wanted=names).select("id", *_rounded(names))
+    return lambda spark, sf_dir: ev.with_metrics(ev.spread(table(spark, sf_dir)), wanted=names).select("id", *_rounded(names))
 
 
 def metric_sql(names: list[str], source: str) -> str:
     return f"SELECT id, {_rounded_sql(names)} FROM ({ev.staged_sql(DUCK, source, names)})"
 
 
-# --- whole evaluation in DuckDB: everything but the iterative centrality, which gets its fixed value for chains ---
+#: Metrics of the row alone in DuckDB; the rest of all metrics is in ``checks``.
 _ROW = [m for names in PILLARS.values() for m in names if m not in ("coherence", "topic_focus", "centrality")]
-#: Metrics whose weights can be checked without the iterative centrality.
-_NEEDED = ["ns", "wc", "low", "wl", "sents"]
-
-
-def _with_vectors_sql(source: str) -> str:
-    rows = f"SELECT id, {', '.join(_NEEDED + _ROW)} FROM ({ev.staged_sql(DUCK, source, _NEEDED + _ROW)})"
-    return f"""WITH rows AS ({rows}), found AS ({ev.vectors_sql(DUCK, 'rows')})
-SELECT rows.*, CASE WHEN ns <= 1 THEN CAST(0.5 AS DOUBLE) ELSE coalesce(coherence, CAST(0.3 AS DOUBLE)) END AS coherence,
-CASE WHEN ns <= 1 THEN CAST(0.5 AS DOUBLE) ELSE coalesce(topic_focus, CAST(0.5 AS DOUBLE)) END AS topic_focus,
-CAST(0.5 AS DOUBLE) AS centrality FROM rows LEFT JOIN found ON rows.id = found.id"""
+_NEEDED = ["ns", "wc", "low", "wl", "sents", "sent_content"]
 
 
 def _scored_sql(source: str) -> str:
-    sql = _with_vectors_sql(source)
+    rows = f"SELECT id, {', '.join(_NEEDED + _ROW)} FROM ({ev.staged_sql(DUCK, source, _NEEDED + _ROW)})"
+    sql = checks.all_metrics_sql(rows)
     for columns in ev.score_stages(DUCK):
         sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM ({sql})"
     return sql
 
 
-def _neutral(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """All metrics with a neutral centrality, as the statements have it."""
-    return ev.with_all_metrics(texts).withColumn("centrality", F.lit(0.5))
-
-
 _DIMS = [f"dim_{k.lower().replace(' ', '_')}" for k in ev.lex.RUBRIC]
 _PILLARS = [f"pillar_{p}" for p in PILLARS]
 
@@ -133,16 +117,17 @@ def evaluate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.score(_neutral(spark, corpus(spark, sf_dir))).select("id", "domain", *_rounded(["domain_confidence", *_DIMS, *_PILLARS, "length_factor", "task_cap"]))
+    return ev.evaluate(corpus(spark, sf_dir)).select("id", "domain", *_rounded(["domain_confidence", *_DIMS, *_PILLARS, "length_factor", "task_cap"]))
 
 
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.vectors(_dealt(corpus(spark, sf_dir))).select("id", *_rounded(["coherence", "topic_focus"]))
+    rows = ev.with_metrics(ev.spread(corpus(spark, sf_dir)), wanted=["vectors"]).select("id", "vectors.*")
+    return rows.filter("coherence IS NOT NULL").select("id", *_rounded(["coherence", "topic_focus"]))
 
 
 def centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev.with_metrics(_dealt(corpus(spark, sf_dir)), wanted=["ns", "sent_content"])
-    return rows.select("id", F.round(ev.rank_variation("sent_content"), PLACES).alias("rank_cv"))
+    rows = ev.with_metrics(ev.spread(corpus(spark, sf_dir)), wanted=["graph"]).select("id", "graph.rank_cv")
+    return rows.filter("rank_cv IS NOT NULL").select("id", *_rounded(["rank_cv"]))
 
 
 def length_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +136,12 @@ def length_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev.with_metrics(_dealt(corpus(spark, sf_dir)), wanted=["kinds"])
+    rows = ev.with_metrics(ev.spread(corpus(spark, sf_dir)), wanted=["kinds"])
     return rows.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev.with_metrics(_dealt(corpus(spark, sf_dir)), wanted=RULES)
+    rows = ev.with_metrics(ev.spread(corpus(spark, sf_dir)), wanted=RULES)
     return rows.selectExpr("id", f"array_join({advice.suggestions_sql(SPARK)}, ' / ') AS suggestions")
 
 
@@ -165,11 +150,6 @@ def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advice.rank_batch(ev.score(_neutral(spark, users(spark, sf_dir)))).select("rank", "id", "preview", "score", "verdict", "domain")
-
-
-def batch_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking by the full score, with every text's own centrality; ``batch_rank`` is its SQL check."""
     return advice.rank_batch(ev.evaluate(users(spark, sf_dir))).select("rank", "id", "preview", "score", "verdict", "domain")
 
 
@@ -194,13 +174,13 @@ def compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the number of distinct tokens agrees with the label of quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("judged"))
-    rows = ev.with_metrics(_dealt(documents(spark, sf_dir)), wanted=["redundancy"]).select("id", F.round("redundancy", PLACES).alias("ours")).join(labels, "id")
+    rows = ev.with_metrics(ev.spread(documents(spark, sf_dir)), wanted=["redundancy"]).select("id", F.round("redundancy", PLACES).alias("ours")).join(labels, "id")
     return stats.agreement(rows, "ours", "judged").select("n", *_rounded(["pearson", "spearman", "mean_difference"]))
 
 
 def source_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source")
-    rows = ev.with_metrics(_dealt(documents(spark, sf_dir)), wanted=["length"]).select("id", "length").join(tiers, "id")
+    rows = ev.with_metrics(ev.spread(documents(spark, sf_dir)), wanted=["length"]).select("id", "length").join(tiers, "id")
     return stats.tier_means(rows, "source", "length").select("source", "n", *_rounded(["mean_length"]))
 
 
@@ -246,7 +226,6 @@ def queries() -> dict[str, Query]:
         "suggestions": suggestions,
         "rewrites": rewrites,
         "batch_rank": batch_rank,
-        "batch_rank_full": batch_rank_full,
         "compare_pairs": compare_pairs,
         "pillar_ablation": pillar_ablation,
         "dimension_ablation": dimension_ablation,
@@ -264,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
     layout = ["k_bullets", "k_numbers", "k_headers", "k_fences", "k_rules", "k_labels", "paragraphs", "solid"]
     counts = ["wc", "ns", "n_tokens", "n_distinct", "n_numbers", "n_quoted", "n_code", "short_factor"]
     redundancy = f"SELECT r.id, round(redundancy, {PLACES}) AS ours, CAST(l.quality AS DOUBLE) AS judged FROM ({ev.staged_sql(DUCK, _DOCUMENTS, ['redundancy'])}) r JOIN labels l ON l.doc_id = r.id"
-    sentences = f"SELECT id, ns, sents FROM ({ev.staged_sql(DUCK, _CORPUS, ['ns', 'sents'])})"
+    sentences = f"(SELECT id, ns, sents, sent_content FROM ({ev.staged_sql(DUCK, _CORPUS, ['ns', 'sents', 'sent_content'])}))"
     return {
         "rule_metrics": metric_sql(RULES, _CORPUS),
         "semantic_metrics": metric_sql(row_sql, _CORPUS),
@@ -273,7 +252,9 @@ def oracle_sql() -> dict[str, str]:
         "layout_counts": metric_sql(layout, _CORPUS),
         "text_counts": metric_sql(counts, _CORPUS),
         "length_labels": f"SELECT id, wc, round(length, {PLACES}) AS length, round(CAST({ev.LENGTH_FACTOR} AS DOUBLE), {PLACES}) AS length_factor, CAST({ev.TASK_CAP} AS DOUBLE) AS task_cap FROM ({ev.staged_sql(DUCK, _USERS, ['wc', 'length'])})",
-        "vector_scores": f"SELECT id, {_rounded_sql(['coherence', 'topic_focus'])} FROM ({ev.vectors_sql(DUCK, f'({sentences})')})",
+        "vector_scores": f"SELECT id, {_rounded_sql(['coherence', 'topic_focus'])} FROM ({checks.vectors_sql(sentences)})",
+        "centrality": f"SELECT id, {_rounded_sql(['rank_cv'])} FROM ({checks.rank_sql(sentences)})",
+        "evaluate_scores": f"SELECT id, domain, final_score, label, {_rounded_sql(_DIMS + _PILLARS)} FROM ({_scored_sql(_CORPUS)})",
         "node_types": f"SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM ({ev.staged_sql(DUCK, _CORPUS, ['kinds'])})) GROUP BY kind",
         "rubric_scores": f"SELECT id, domain, {_rounded_sql(['domain_confidence', *_DIMS, *_PILLARS, 'length_factor', 'task_cap'])} FROM ({_scored_sql(_CORPUS)})",
         "suggestions": f"SELECT id, array_to_string({advice.suggestions_sql(DUCK)}, ' / ') AS suggestions FROM ({ev.staged_sql(DUCK, _CORPUS, RULES)})",
