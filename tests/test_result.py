@@ -8,6 +8,7 @@ from textgauge import cli
 from textgauge.operators import evaluate as ev
 from textgauge.operators.findings import FINDINGS, result
 from textgauge.operators.metrics import METRICS
+from textgauge.sources import chart
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +36,41 @@ def test_result_is_whole(rows):
 def test_command_line(spark, tmp_path, capsys):
     path = tmp_path / "batch.json"
     path.write_text(json.dumps(["help", {"prompt": "Write a report in json for experts. It must be short.", "tier": "good"}]))
-    report = cli.run(spark, cli.parser().parse_args(["--batch", str(path), "--export-csv", str(tmp_path / "csv")]))[0].collect()
+    report = cli.run(spark, cli.parser().parse_args(["--batch", str(path), "--export-csv", str(tmp_path / "out.csv")]))[0].collect()
     assert [(r["rank"], r["label"]) for r in report] == [(1, "good"), (2, "#1")]
-    assert next((tmp_path / "csv").glob("*.csv")).read_text().startswith("rank,id,label,preview,score,verdict,domain")
-    args = cli.parser().parse_args(["help", "--compare", "help"])
+    assert (tmp_path / "out.csv").read_text().startswith("id,label,preview,score,verdict,domain\n2,good,")
+    (tmp_path / "b.txt").write_text("help")
+    args = cli.parser().parse_args(["help", "--compare", str(tmp_path / "b.txt")])
     assert cli.run(spark, args)[0].first()["verdict"] == "tie"
-    one = cli.run(spark, cli.parser().parse_args(["help", "--json"]))[0].first()["json"]
+    one = cli.run(spark, cli.parser().parse_args(["help", "-j"]))[0].first()["json"]
     assert json.loads(one)["final_score"] <= 12
-    assert cli.main([" "]) == 1
+    shown = cli.run(spark, cli.parser().parse_args(["-f", str(tmp_path / "b.txt"), "-o", str(tmp_path / "charts"), "--rewrite"]))
+    chart = shown[-1].first()["chart"]
+    assert chart == str(tmp_path / "charts/radar_chart.svg") and "Task Definition" in open(chart).read()
+    assert len(cli.run(spark, cli.parser().parse_args(["help", "--no-chart"]))) == 2
+
+
+@pytest.mark.parametrize("argv, said", [([" "], "no text"), (["--file", "/no/such/file"], "/no/such/file"), (["help", "--compare", "/no/such/file"], "/no/such/file"), (["--batch", "/no/such/file"], "/no/such/file"), ([], "no text")])
+def test_command_line_refuses(argv, said, capsys):
+    assert cli.main(argv) == 1
+    assert said in capsys.readouterr().err
+
+
+def test_benchmark(spark, tmp_path):
+    path = tmp_path / "results.json"
+    texts = ["help", "Write a report in json for experts. It must be short.", "Sort it.", "You are a cook. List 5 soups. Avoid meat."]
+    entries = [{"id": i, "tier": "low" if i % 2 else "high", "prompt": t, "classical_score": 1.0, "llm_score": 10.0 * i, "llm_label": "Poor", "note": "kept"} for i, t in enumerate(texts)]
+    path.write_text(json.dumps(entries))
+    whole, tiers, drift = cli.run(spark, cli.parser().parse_args(["--benchmark", str(path), "--write"]))
+    assert whole.first()["n"] == 4 and -1 <= whole.first()["pearson"] <= 1
+    assert {r["tier"]: r["mean_judged"] for r in tiers.collect()} == {"low": 20.0, "high": 10.0}
+    assert drift.count() == 4
+    again = json.loads(path.read_text())
+    assert all(e["note"] == "kept" and e["classical_score"] != 1.0 for e in again)
+    assert cli.run(spark, cli.parser().parse_args(["--benchmark", str(path)]))[2].count() == 0
+
+
+def test_chart():
+    drawn = chart.radar([("A & B", 0.5), ("C", 1.0), ("D", 0.0)])
+    assert "A &amp; B 0.50" in drawn and drawn.count("<polygon") == 6
+    assert "320.0,100.0" in chart.radar([("A", 1.0), ("B", 0.0)])  # the first axis points up

@@ -50,14 +50,22 @@ def step(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
 
 
-def with_metrics(texts: DataFrame, providers: DataFrame | None = None, wanted: list[str] | None = None) -> DataFrame:
-    """Texts (id, text) with every (or each wanted) metric that needs the row alone. One narrow stage."""
+def with_metrics(texts: DataFrame, providers: DataFrame | None = None, wanted: list[str] | None = None, extra: dict[str, str] | None = None) -> DataFrame:
+    """Texts (id, text) with every (or each wanted) metric. One narrow stage. ``extra`` adds metrics of the caller's: expressions
+    over the text, the columns of ``stages`` and the metrics themselves."""
+    steps = stages(SPARK) + ([extra] if extra else [])
     out = with_providers(texts, providers)
-    for columns in needed(stages(SPARK), wanted):
+    for columns in needed(steps, wanted if wanted is None else [*wanted, *(extra or {})]):
         out = step(out, columns)
     return out
 
 
+def node_histogram(rows: DataFrame) -> DataFrame:
+    """Adds ``nodes``: how many sentences of each kind a text has, from ``kinds``."""
+    names = F.array(*map(F.lit, ("CONTEXT", "TASK", "CONSTRAINT", "EXAMPLE", "OTHER")))
+    return rows.withColumn("nodes", F.map_from_arrays(names, F.transform(names, lambda k: F.size(F.filter("kinds", lambda x: x == k)))))
+
+
 def with_all_metrics(texts: DataFrame, providers: DataFrame | None = None) -> DataFrame:
     """Texts with all metrics. Texts without term vectors have the fixed scores of that case."""
     return with_metrics(spread(texts), providers)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.functions import lexicons as lex
-from textgauge.functions.dialect import Dialect
+from textgauge.functions.dialect import SPARK, Dialect
 from textgauge.operators.evaluate import OVERALL_LABELS, label_expr
 
 # --- fixed values: the metrics that a judge is asked for --------------------------------------------------
@@ -31,7 +31,8 @@ INSTRUCTIONS = (
 
 
 def prompts(texts: DataFrame) -> DataFrame:
-    return texts.select("id", F.concat(F.lit(INSTRUCTIONS + "\n\nTEXT:\n"), F.col("text")).alias("prompt"))
+    """A null text asks about an empty one."""
+    return texts.select("id", F.concat(F.lit(INSTRUCTIONS + "\n\nTEXT:\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 def object_sql(d: Dialect, s: str = "response") -> str:
@@ -76,8 +77,6 @@ def normalise_stages(d: Dialect) -> list[dict[str, str]]:
 
 def normalise(responses: DataFrame) -> DataFrame:
     """Responses (id, response) with the columns of ``normalise_stages``."""
-    from textgauge.functions.dialect import SPARK
-
     out = responses
     for columns in normalise_stages(SPARK):
         out = out.selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
@@ -97,6 +96,13 @@ def cached(texts: DataFrame, cache: DataFrame, provider: str, model: str) -> Dat
     return texts.withColumn("key", cache_key(provider, model)).join(cache, "key")
 
 
+def write_cache(answered: DataFrame, path: str, provider: str, model: str) -> None:
+    """Adds answers (text, response) to the cache under ``path``; missing and unreadable responses aren't kept, so they are asked again."""
+    readable = F.expr(f"try_parse_json({object_sql(SPARK)}) IS NOT NULL")
+    rows = answered.filter(F.col("response").isNotNull()).filter(F.coalesce(readable, F.lit(False)))
+    rows.select(cache_key(provider, model).alias("key"), "response").dropDuplicates(["key"]).write.mode("append").parquet(path)
+
+
 class QuotaError(RuntimeError):
     """The provider's quota is used up: another key may go on."""
 
@@ -114,31 +120,39 @@ def classified(error: Exception) -> Exception:
     return error
 
 
-def ask(questions: DataFrame, judge: Callable[[str, str], str], keys: tuple[str, ...] = ("",), tries: int = 3, wait: float = 2.0) -> DataFrame:
-    """(id, response) of ``judge(prompt, key)``, in Arrow batches; the next key after a quota error, up to ``tries`` times
-    after others. Questions without an answer have a null response."""
+def ask(questions: DataFrame, judge: Callable[[str, str], str], keys: tuple[str, ...] = ("",), tries: int = 3, wait: float = 2.0, quota_wait: float = 0.5) -> DataFrame:
+    """(id, response, error) of ``judge(prompt, key)``, in Arrow batches.
+
+    After a quota error the next key goes on (shortly after), after an access error too, and that key isn't used again by the task; when no key
+    is left the question fails. Other errors are tried ``tries`` times, ``wait`` seconds apart. A question without an answer has a null response and
+    the last error's text."""
 
     def run(batches):
         import time
 
-        at = 0
+        left_keys = list(keys)
         for batch in batches:
-            out = []
+            answers, errors = [], []
             for prompt in batch["prompt"]:
-                response, left = None, tries
-                while left:
+                response = error = None
+                left, turns = tries, len(left_keys)
+                while left and left_keys:
                     try:
-                        response = judge(prompt, keys[at % len(keys)])
+                        response, error = judge(prompt, left_keys[0]), None
                         break
                     except Exception as e:  # noqa: BLE001  a provider's own error types
-                        if isinstance(classified(e), QuotaError) and at + 1 < len(keys):
-                            at += 1
+                        kind, error = classified(e), str(e)
+                        if isinstance(kind, AccessError):
+                            left_keys.pop(0)
+                        elif isinstance(kind, QuotaError) and turns > 1:
+                            left_keys.append(left_keys.pop(0))
+                            turns -= 1
+                            time.sleep(quota_wait)
                         else:
                             left -= 1
-                        time.sleep(wait)
-                out.append(response)
-            yield batch.assign(response=out)[["id", "response"]]
-
-    return questions.mapInPandas(run, "id long, response string")
-
+                            time.sleep(wait if left else 0)
+                answers.append(response)
+                errors.append(error if response is None and error else None if response is not None else "no key left")
+            yield batch.assign(response=answers, error=errors)[["id", "response", "error"]]
 
+    return questions.mapInPandas(run, "id long, response string, error string")

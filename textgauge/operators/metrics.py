@@ -20,6 +20,7 @@ PROVIDERS = {
     "p_role_entities": "bigint",
     "p_english_ratio": "double",
     "p_rarity": "double",
+    "p_diversity": "double",
     "p_tone_variance": "double",
     "p_tone_mixed": "boolean",
     "p_subjectivity": "double",
@@ -274,7 +275,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "shannon_entropy": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(clamp('h / CASE WHEN n_distinct = 1 THEN 1 ELSE log2(CAST(n_distinct AS DOUBLE)) END'))} END",
         "redundancy": f"CASE WHEN n_tokens = 0 THEN {n(0)} ELSE {short(f'(n_distinct / CAST(n_tokens AS DOUBLE)) * CASE WHEN 1 - n_distinct / CAST(n_tokens AS DOUBLE) > {n(.6)} THEN {n(.5)} ELSE {n(1)} END')} END",
         "information_density": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(clamp('10 * h / n_tokens'))} END",
-        "vocabulary_richness": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(clamp(fallback))} END",
+        "vocabulary_richness": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(f'CASE WHEN p_diversity IS NULL THEN {clamp(fallback)} ELSE {clamp(f'(n_distinct / CAST(n_tokens AS DOUBLE) + 3 * p_diversity) / 4')} END')} END",
         "ngram_repetition": f"CASE WHEN n_tokens < 4 THEN {n(.3)} ELSE {short(clamp(f'1 - 3 * repeated_grams / (2 * n_tokens - 3)'))} END",
         "burstiness": f"CASE WHEN n_tokens < 10 OR {d.size('chunk_h')} < 2 THEN {n(.3)} ELSE {short(clamp('1 - 2 * chunk_var'))} END",
         "sentence_repetition": f"CASE WHEN ns < 2 OR pairs = 0 THEN {n(.5)} ELSE {clamp('1 - 2 * repeats / pairs')} END",

@@ -32,15 +32,33 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+REPORT = ["id", "label", "preview", "score", "verdict", "domain"]
+
+
 def write_csv_report(report: DataFrame, path: str) -> None:
-    """A ranked report as one CSV file with a header."""
-    report.orderBy("rank").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A ranked report as one CSV file with a header, best first; the rank is the order, not a column. The file is written row by row as
+    the partitions arrive in order."""
+    import csv
+
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(REPORT)
+        out.writerows(tuple(r) for r in report.orderBy("rank").select(*REPORT).toLocalIterator())
 
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """Results as one JSON array in a file, in the order of their ids."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for n, r in enumerate(rows.orderBy("id").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            f.write(",\n" * (n > 0) + r["j"])
+        f.write("]\n")
+
+
 def report(scored: DataFrame) -> DataFrame:
     """Lines of a terminal report: (id, ord, dimension, score, bar, colour)."""
     from textgauge.operators.advice import dimensions
