@@ -1,15 +1,18 @@
 """Nearest neighbours by largest inner product as a block matrix join (operator 6).
 
-Vectors are quantised to int8 with a scale of their own. Queries and candidates are dealt into blocks by a
-hash of their id, and each pair of blocks is one task: a product of int8 tiles approximates every inner
-product, and with the norms of the quantisation errors,
+1. Quantise: every vector becomes one int8 row with a scale of its own, the norm of its quantisation error and the norm of what
+   it stands for. Only these rows, an eighth of the vectors' size, are dealt out to blocks.
+2. Tiles: queries and candidates are dealt into blocks by a hash of their id, and each pair of blocks is one task: a
+   product of int8 tiles approximates every inner product, and with the norms of the quantisation errors,
 
-    |q.x - q'.x'| <= |q| |x - x'| + |q - q'| |x'|,
+       |q.x - q'.x'| <= |q| |x - x'| + |q - q'| |x'|,
 
-gives bounds. Pairs whose upper bound reaches the query's k-th largest lower bound of the tile survive; they
-are recomputed in double precision, products added from the first component to the last, and each tile
-gives its k best to a merge of the tiles' lists by bounded heaps. The bounds hold for every pair, so the
-result is exact: no candidate of the final list can be missed.
+   gives bounds. Pairs whose upper bound reaches the query's k-th largest lower bound of the tile survive.
+3. Merge: a query's k-th largest lower bound over all its tiles cuts the survivors once more.
+4. Recheck: surviving pairs meet the original vectors by id and are recomputed in double precision, products added from the first
+   component to the last; bounded heaps, one for each query and share of its pairs, then one for each query, keep the k best.
+
+The bounds hold for every pair, so the result is exact: no candidate of the final list can be missed.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; a query meets only
 vectors of its own dimension. A query's own id is never its answer. Rows repeating an id count once, with the
@@ -22,12 +25,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textgauge.llm.common import saved, tidy
+
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
-_PAIRS = 100_000
+#: Pairs of a query that one heap looks through before its best go on to the query's own.
+SHARE = 4096
 #: Over the rounding of the bounds themselves, which are computed in double precision.
 _SLACK = 1e-9
 
@@ -46,54 +52,78 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(q * x, axis=1)[:, -1] if q.shape[1] else np.zeros(len(q))
 
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores): each query's k best of the tile."""
-    a, sa, ea, na = quantised(queries)
-    b, sb, eb, nb = quantised(vectors)
-    norm_a = np.linalg.norm(queries, axis=1)
-    kind = np.float32 if queries.shape[1] <= 1000 else np.float64  # sums of products below 2**24 are exact
-    right = b.T.astype(kind)
-    out = []
-    rows = max(1, 4_000_000 // max(1, len(ids)))
-    for lo in range(0, len(query_ids), rows):
-        hi = min(lo + rows, len(query_ids))
-        near = (a[lo:hi].astype(kind) @ right).astype(np.float64) * (sa[lo:hi, None] * sb)
-        bound = (norm_a[lo:hi, None] * eb + ea[lo:hi, None] * nb) * (1 + _SLACK) + _SLACK * norm_a[lo:hi, None] * (nb + eb)
-        own = query_ids[lo:hi, None] == ids
-        low = np.where(own, -np.inf, near - bound)
-        if len(ids) > k:
-            kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            kth = np.full(hi - lo, -np.inf)
-        i, j = np.nonzero((near + bound >= kth[:, None]) & ~own)
-        score = np.concatenate([exact(queries[lo + i[p : p + _PAIRS]], vectors[j[p : p + _PAIRS]]) for p in range(0, len(i), _PAIRS)] or [np.empty(0)])
-        order = np.lexsort((ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = rank < k
-        out.append((query_ids[lo + i[keep]], ids[j[keep]], score[keep]))
-    return out
+def tile(left: dict[str, np.ndarray], right: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, lower and upper bounds) of the pairs of a tile that can be among the query's k best. ``left`` and ``right``
+    hold id, rows (int8), scale, error, back (norm of the quantised row) and norm."""
+    kind = np.float32 if left["rows"].shape[1] <= 1000 else np.float64  # sums of products below 2**24 are exact
+    across = right["rows"].T.astype(kind)
+    ids, out = right["id"], []
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    for lo in range(0, len(left["id"]), step):
+        own = {c: v[lo : lo + step] for c, v in left.items()}
+        near = (own["rows"].astype(kind) @ across).astype(np.float64) * (own["scale"][:, None] * right["scale"])
+        bound = (own["norm"][:, None] * right["error"] + own["error"][:, None] * right["back"]) * (1 + _SLACK) + _SLACK * own["norm"][:, None] * (right["back"] + right["error"])
+        itself = own["id"][:, None] == ids
+        low = np.where(itself, -np.inf, near - bound)
+        kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own["id"]), -np.inf)
+        i, j = np.nonzero((near + bound >= kth[:, None]) & ~itself)
+        out.append((own["id"][i], ids[j], low[i, j], (near + bound)[i, j]))
+    return tuple(np.concatenate([o[n] for o in out]) if out else np.empty(0, np.int64 if n < 2 else float) for n in range(4))
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
+_QUANTISED = "id long, dim int, rows binary, scale double, error double, back double, norm double"
+
+
+def _quantise(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        dims = batch.column(2).to_numpy()
+        for dim in np.unique(dims).tolist():  # a matrix for each dimension
+            some = batch.filter(pa.array(dims == dim))
+            x = _matrix(some.column(1))
+            q, scale, error, back = quantised(x)
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), some.column(2), pa.array([r.tobytes() for r in q], pa.binary()), *map(pa.array, (scale, error, back, np.linalg.norm(x, axis=1)))],
+                ["id", "dim", "rows", "scale", "error", "back", "norm"],
+            )
+
+
+def _side(table) -> dict[str, np.ndarray]:
+    side = {c: table[c].to_numpy() for c in ("id", "scale", "error", "back", "norm")}
+    return side | {"rows": np.frombuffer(b"".join(table["rows"].to_pylist()), np.int8).reshape(len(side["id"]), -1)}
+
+
 def _tiles(k: int):
     def run(left, right):
         import pyarrow as pa
 
-        if left.num_rows and right.num_rows:
-            parts = tile(left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]), k)
-        else:
-            parts = []
-        q, v, s = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, kind in enumerate((np.int64, np.int64, float)))
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+        found = tile(_side(left), _side(right), k) if left.num_rows and right.num_rows else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
+        return pa.table(dict(zip(("query_id", "vec_id", "low", "high"), map(pa.array, found))))
 
     return run
 
 
+def _scores(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        q, v, dims = batch.column(2), batch.column(3), batch.column(4).to_numpy()
+        scores = np.empty(len(dims))
+        for dim in np.unique(dims).tolist():
+            own = pa.array(dims == dim)
+            scores[dims == dim] = exact(_matrix(q.filter(own)), _matrix(v.filter(own)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
 def _merge(k: int):
     def run(batches):
         import pyarrow as pa
@@ -109,6 +139,9 @@ def _merge(k: int):
     return run
 
 
+_RANKED = "query_id long, rank int, vec_id long, score double"
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -119,18 +152,31 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose id is divisible by ``every``."""
-    from textgauge.llm.common import saved
-
     rows = saved(usable(vectors, id_col, vector_col).withColumn("dim", F.size("v")), "nearest-rows")
+    small = saved(rows.select("id", "v", "dim").mapInArrow(tidy("nearest", _quantise), _QUANTISED), "nearest-int8")
     is_query = F.pmod(F.col("id"), F.lit(every)) == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    n, n_queries = small.agg(F.count("*"), F.count_if(is_query)).first()
     n_blocks, n_query_blocks = max(1, -(-n // candidate_block)), max(1, -(-n_queries // query_block))
 
     def spread(block: int) -> F.Column:
         return F.pmod(F.xxhash64("id"), F.lit(block)).cast("int")
 
-    left = rows.filter(is_query).select("id", "v", "dim", spread(n_query_blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j"))
-    right = rows.select("id", "v", "dim", spread(n_blocks).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("i"))
-    found = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(_tiles(k), "query_id long, vec_id long, score double")
-    lists = found.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores"))
-    return lists.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    left = small.filter(is_query).withColumns({"i": spread(n_query_blocks), "j": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
+    right = small.withColumns({"j": spread(n_blocks), "i": F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))})
+    found = left.groupBy("dim", "i", "j").cogroup(right.groupBy("dim", "i", "j")).applyInArrow(_tiles(k), "query_id long, vec_id long, low double, high double")
+    found = saved(found, "nearest-found")
+
+    # the k-th largest lower bound of a query, from the k largest of each share of its pairs
+    share = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(F.lit(n_blocks * k) / SHARE))).cast("int")
+    by_bound = Window.partitionBy("query_id", "share").orderBy(F.col("low").desc())
+    top = found.withColumn("share", share).withColumn("r", F.row_number().over(by_bound)).filter(F.col("r") <= k)
+    floors = top.groupBy("query_id").agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows")).select("query_id", F.get("lows", F.lit(k - 1)).alias("floor"))
+    left_over = found.join(floors, "query_id").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "vec_id")
+
+    queries = rows.filter(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "dim")
+    pairs = left_over.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries, "query_id")
+    scored = pairs.select("query_id", "vec_id", "q", "v", "dim").mapInArrow(tidy("nearest", _scores), "query_id long, vec_id long, score double")
+    lists = scored.groupBy("query_id", share.alias("share")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores"))
+    firsts = lists.select("query_id", "ids", "scores").mapInArrow(tidy("nearest", _merge(k)), _RANKED)
+    lists = firsts.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores"))
+    return lists.mapInArrow(tidy("nearest", _merge(k)), _RANKED)
