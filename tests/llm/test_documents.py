@@ -472,6 +472,46 @@ def test_licenses_of_wrapped_headers_and_whole_files(spark):
     assert [r[2] for r in got] == ["header"] * 6 + ["file"] * (len(rows) - 6)
 
 
+def test_license_identifiers(spark):
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "LGPL-2.1-or-later", "BSD-3-Clause", "CC0-1.0", "ISC"]
+    rows = [(i, f"src/f{i}.c", f"// SPDX-License-Identifier: {n}\n\nint main() {{ return {i}; }}\n" + "x y z\n" * 20) for i, n in enumerate(names)]
+    rows.append((len(names), "other/f.c", "// SPDX-License-Identifier: Zlib\n" + "x y z\n" * 20))
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "file_id long, path string, text string")), "file_id", "license")
+    assert [n for _, n in got] == ["MIT", "Apache-2.0", "GPL-2.0", "LGPL-2.1", "BSD-3-Clause", "CC0-1.0", "ISC", None]
+
+
+def plain_cosines(texts):
+    """Each text's best licence by dictionaries: TF-IDF over the distinct texts and the templates."""
+    words = lambda t: [w for w in re.split(r"[. ]*(?: |$)[. ]*", re.sub(r"[^\w.+-]+|_", " ", t.lower())) if w]
+    notices = [(license, Counter(words(t))) for license, t, _ in licenses.templates()]
+    units = {tuple(words(t)) for t in texts}
+    df = Counter(w for u in units for w in set(u)) + Counter(w for _, c in notices for w in c)
+    n = len(units) + len(notices)
+    weigh = lambda c: {w: k * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in c.items()}
+    out = []
+    for t in texts:
+        own = weigh(Counter(words(t)))
+        best = (0.0, None)
+        for license, c in notices:
+            other = weigh(c)
+            s = round(sum(x * other.get(w, 0) for w, x in own.items()) / math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in other.values())), 9)
+            best = min(best, (-s, license), key=lambda b: (b[0], b[1] or "~"))
+        out.append((best[1], -best[0]) if -best[0] >= licenses.MIN_SIMILARITY else (None, None))
+    return out
+
+
+def test_license_cosines_equal_plain_python(spark):
+    """Texts of one sentence are one unit each: their licence and similarity against dictionaries."""
+    texts = [
+        "released under the mit license", "this file is under the apache license version 2.0", "licensed under cc by 4.0", "gnu general public license version 3 applies here",
+        "all rights reserved", "a fishing license for the river", "permission is granted to walk the licensed dog", "dedicated to the public domain", "license",
+    ]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "file_id long, path string, text string")
+    got = [(r["license"], r["similarity"]) for r in licenses.scan_licenses(df).orderBy("file_id").collect()]
+    for (license, similarity), (want, s) in zip(got, plain_cosines(texts)):
+        assert license == want and similarity == (None if s is None else pytest.approx(s, abs=2e-6))
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------
 
 EXTRA = "`a b` int, `x.y` string, rejected boolean, keep int, kept boolean, place long, `row` string, h long, lang_key string, c_row int, perplexity double, tags map<string,int>, component_id long"

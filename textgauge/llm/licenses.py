@@ -119,7 +119,28 @@ def _texts() -> list[tuple[str, str]]:
 def templates() -> list[tuple[str, str, bool]]:
     """(license, notice, whether it is a whole licence text)."""
     named = [(license, f"licensed under the GNU {name}, version {version}", False) for license, name, version, _ in GNU]
-    return [*((*t, False) for t in TEMPLATES), *named, *((*t, False) for t in _headers()), *((*t, True) for t in _texts())]
+    return [*((*t, False) for t in TEMPLATES), *named, *((*t, False) for t in _identifiers()), *((*t, False) for t in _headers()), *((*t, True) for t in _texts())]
+
+
+#: Identifiers of the SPDX list for the licences above that aren't the licence's name itself.
+IDENTIFIERS = (
+    ("GPL-2.0", "GPL-2.0-only"),
+    ("GPL-2.0", "GPL-2.0-or-later"),
+    ("GPL-3.0", "GPL-3.0-only"),
+    ("GPL-3.0", "GPL-3.0-or-later"),
+    ("LGPL-2.1", "LGPL-2.1-only"),
+    ("LGPL-2.1", "LGPL-2.1-or-later"),
+    ("LGPL-3.0", "LGPL-3.0-only"),
+    ("LGPL-3.0", "LGPL-3.0-or-later"),
+    ("AGPL-3.0", "AGPL-3.0-only"),
+    ("AGPL-3.0", "AGPL-3.0-or-later"),
+)
+
+
+def _identifiers() -> list[tuple[str, str]]:
+    """Lines that name a licence by its identifier."""
+    names = dict.fromkeys(license for license, *_ in (*TEMPLATES, *GNU) if license != "Proprietary")
+    return [(license, f"SPDX-License-Identifier: {name}") for license, name in (*((n, n) for n in names), *IDENTIFIERS)]
 
 
 #: What a sentence must hold to be a candidate, in lower case.
