@@ -185,12 +185,15 @@ def source_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(RESPONSES)), "id long, response string")
+    """All answers of the conversations as responses, and responses written for the purpose."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role <> 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("response"))
+    rows = turns.unionByName(spark.createDataFrame([(-1 - i, r) for i, r in enumerate(RESPONSES)], "id long, response string"))
     return judge.normalise(rows).select("id", "failed", "verdict", *_rounded(["judged", *_DIMS, *(f"pillar_{p}" for p in judge.JUDGED)]))
 
 
 def _judge_sql() -> str:
-    sql = " UNION ALL ".join(f"SELECT {i} AS id, {DUCK.lit(r)} AS response" for i, r in enumerate(RESPONSES))
+    sql = "SELECT conv_id * 1000 + turn AS id, text AS response FROM conversations WHERE role <> 'user' UNION ALL "
+    sql += " UNION ALL ".join(f"SELECT {-1 - i} AS id, {DUCK.lit(r)} AS response" for i, r in enumerate(RESPONSES))
     for columns in judge.normalise_stages(DUCK):
         sql = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM ({sql})"
     return f"SELECT id, failed, verdict, {_rounded_sql(['judged', *_DIMS, *(f'pillar_{p}' for p in judge.JUDGED)])} FROM ({sql})"
