@@ -394,6 +394,14 @@ def test_label_model_equals_plain_loops_and_finds_the_rates():
     assert p == pytest.approx(plain_label_model(votes[some].tolist(), other[some].tolist(), 7), abs=1e-4)
 
 
+def test_calibration_finds_the_curve():
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 3, 20_000)
+    a, b = toxicity.calibration(z, (rng.random(20_000) < 1 / (1 + np.exp(-(2 * z + 1)))).astype(float))
+    assert (a, b) == (pytest.approx(2, abs=0.15), pytest.approx(1, abs=0.15))
+    assert all(map(math.isfinite, toxicity.calibration(np.zeros(5), np.ones(5))))
+
+
 def test_shouting_counts_the_whole_text():
     for text, shouts in (("IDIOT " * 50_000, True), ("IDIOT " * 20_000 + "quiet " * 30_000, False), ("quiet " * 20_000 + "IDIOT " * 40_000, True)):
         assert toxicity.patterns(text, toxicity._WORD.findall(text.lower()))[2] is shouts

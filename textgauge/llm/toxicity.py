@@ -36,8 +36,9 @@ from textgauge.llm.tokens import str_texts
 #: The bound of the fit: labelled rows.
 MAX_FIT = 20_000
 MIN_SUPPORT = 3
-#: z of a feature's log odds ratio, at least; log odds ratio of a voter, at least.
-MIN_Z = 2.0
+#: z of the log odds ratio of a feature and of a voter, at least; log odds ratio of a voter, at least.
+MIN_Z = 2.5
+VOTER_Z = 3.0
 MIN_ODDS = 3.5
 RIDGE = 0.3
 _MEMO = 400_000
@@ -105,7 +106,7 @@ def _rows(index: dict[str, int]):
                 words = _WORD.findall(text.lower())
                 out.append(sorted({i for f in counted(words) if (i := index.get(f)) is not None}))
                 marks.append(list(patterns(text, words)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_()))], ["found", "patterns"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.bool_())), batch.column(1)], ["found", "patterns", "toxic"])
 
     return run
 
@@ -158,10 +159,27 @@ def ridge_logistic(rows: list[list[int]], target: np.ndarray, size: int, ridge:
         w_new, b_new = w_ahead - rate * gw, b_ahead - 4 * error.mean()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w_ahead, b_ahead = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b) * 0
+        moved = max(np.abs((w_new - w) * scale).max(initial=0.0), abs(b_new - b))
         w, b, t = w_new, b_new, t_new
+        if moved < 1e-5:
+            break
     return float(b), w * scale
 
 
+def calibration(z: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve of the labels over the scores z, by Newton's method with a slight pull to (1, 0)."""
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        gradient = np.array([((q - labels) * z).sum() + a - 1, (q - labels).sum() + b])
+        h = q * (1 - q)
+        move = np.linalg.solve(np.array([[(h * z * z).sum() + 1, (h * z).sum()], [(h * z).sum(), h.sum() + 1]]), gradient)
+        a, b = a - move[0], b - move[1]
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     """Intercept and weights of features, from the labelled rows outside the held-out fold."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(fold("doc_id") != 0)
@@ -179,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     top = counts.withColumn("odds", odds).withColumn("z", z).filter((F.col("a") > 0) & (F.col("z") > MIN_Z)).orderBy(F.col("z").desc(), "feature").collect()
     names = [r["feature"] for r in top]
-    voters = [i for i, r in enumerate(top) if r["odds"] > MIN_ODDS and r["a"] >= MIN_SUPPORT]
-    data = rows.mapInArrow(tidy("toxicity", _rows({f: i for i, f in enumerate(names)})), "found array<int>, patterns array<boolean>").collect()
-    data.sort(key=lambda r: (r["found"], r["patterns"]))  # the fit doesn't depend on the order of rows
+    voters = [i for i, r in enumerate(top) if r["z"] > VOTER_Z and r["odds"] > MIN_ODDS and r["a"] >= MIN_SUPPORT]
+    data = rows.mapInArrow(tidy("toxicity", _rows({f: i for i, f in enumerate(names)})), "found array<int>, patterns array<boolean>, toxic boolean").collect()
+    data.sort(key=lambda r: (r["found"], r["patterns"], r["toxic"]))  # the fit doesn't depend on the order of rows
     found = [r["found"] for r in data]
     votes = np.zeros((len(data), len(voters) + 3), bool)
     place = {i: k for k, i in enumerate(voters)}
@@ -193,7 +211,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     spoken = votes.sum(axis=1)
     posterior, _ = label_model(votes, np.column_stack([spoken == 0, spoken <= 1]))
     intercept, weights = ridge_logistic(found, posterior, len(names))
-    return intercept, {f: float(w) for f, w in zip(names, weights)}
+    z = np.array([intercept + weights[r].sum() for r in found])
+    slope, shift = calibration(z, np.array([r["toxic"] for r in data], float))
+    return slope * intercept + shift, {f: slope * float(w) for f, w in zip(names, weights)}
 
 
 def _score(intercept: float, weights: dict[str, float]):
