@@ -72,9 +72,9 @@ def with_all_metrics(texts: DataFrame, providers: DataFrame | None = None) -> Da
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Texts of fewer partitions than there are cores are dealt out, without a key; others stay where they are."""
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(2 * cores)
+    """Texts dealt out without a key, over twice the cores at least. How many partitions they have says little: a file of one row
+    group is one task's work however many splits it has, and a small table beside it brings partitions of its own."""
+    return texts.repartition(max(2 * texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()))
 
 
 def domain_exprs(d: Dialect) -> dict[str, str]:
