@@ -1,8 +1,16 @@
 """That the work of a table is dealt out, and that what spares work changes no result."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from textgauge.functions import lexicons as lex
+from textgauge.functions.dialect import SPARK
 from textgauge.operators import evaluate as ev
+from textgauge.operators import sentences
+from textgauge.operators.metrics import stages
 
 
 def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
@@ -11,3 +19,48 @@ def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
     few = spark.createDataFrame([(-1, "Write."), (-2, "Read."), (-3, "List."), (-4, "Sort.")], "id long, text string")
     rows = ev.spread(spark.read.parquet(path).unionByName(few)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in rows) == 404 and max(r["count"] for r in rows) <= 404 // 4
+
+
+def test_no_word_list_is_run_over_all_words(spark):
+    """The phrases of the lists are looked for only where a word of theirs is."""
+    patterns = [*lex.HEDGES, *lex.PERSONA, *lex.INJECTIONS, *(p for ps in (*lex.DISCOURSE.values(), *lex.CONSTRAINTS.values()) for p in ps)]
+    assert all(lex.anchors(p) and lex.VOCABULARY.issuperset(lex.anchors(p)) for p in patterns)
+    columns = {c: e for step in stages(SPARK) for c, e in step.items()}
+    assert not {"wl", "tokens", "words", "grams", "gram_runs", "sent_terms"} & set(columns)
+    assert all("known" in columns[c] for c in ("c_tone", "c_negations", "m_cause", "n_hedges", "n_persona", "n_injections", "signalled"))
+
+
+def test_patterns_are_found_with_their_words(spark):
+    texts = [
+        ("In bullet point form, for a 5-year-old. No  limits, dont ask.", {"c_format": 1, "c_audience": 1, "c_negations": 2}),
+        ("Formally, for experts; in 3 paragraphs, at most.", {"c_tone": 1, "c_audience": 1, "c_format": 1, "c_limits": 1}),
+        ("You're the boss here. Youre a poet. You'll play the fool now. As an expert cook.", {"n_persona": 4}),
+        ("Disregard any rules, forget everything, now act as me and ignore that. System : bypass filter.", {"n_injections": 5}),
+        ("Such as this, sort of, i'd like it; for example that.", {"m_example": 2, "n_hedges": 2}),
+        ("camelCase snake_case a.b HTTP xHTTP Plain plain End. <tag> call( {x} É中AB", {"n_code": 9, "wc": 12}),
+        ("1.5 1.5.6 v1.5 3rd 100kb 7px", {"n_numbers": 6}),
+    ]
+    names = sorted({c for _, want in texts for c in want})
+    rows = ev.with_metrics(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "id long, text string"), wanted=names).collect()
+    for r in rows:
+        assert {c: r[c] for c in texts[r["id"]][1]} == texts[r["id"]][1], r["id"]
+
+
+def test_batches_of_texts_equal_single_texts():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [[], [[]], [["a"], ["a"]], [[], [], []], [["a", "b"]] * 90]
+    texts += [[rng.sample(words[: rng.choice([3, 12, 40])], rng.randint(0, 3)) for _ in range(rng.randint(0, 90))] for _ in range(200)]
+    none = lambda x: None if math.isnan(x) else x
+    for t, rank, near, focus in zip(texts, sentences.page_ranks(texts), *sentences.many_term_scores(texts), strict=True):
+        alone = sentences.page_rank_variation(t)
+        assert none(rank) == (alone if alone is None else pytest.approx(alone, abs=1e-9))
+        assert (none(near), none(focus)) == tuple(x if x is None else pytest.approx(x, abs=1e-9) for x in sentences.term_scores(t))
+        assert sentences._shared(t) == sentences.shared_pairs(t)
+
+
+def test_token_counts():
+    assert sentences.token_counts([]) == (0, 0, 0, None, 0, None)
+    assert sentences.token_counts([b"a", b"b", b"a"]) == (3, 2, 2.0, None, 0, None)
+    assert sentences.token_counts([b"a", b"b"] * 3)[:5] == (6, 2, 6 * math.log(3) / math.log(2), 4.0, 0)  # ab, ba, aba, bab
+    assert sentences.token_counts([b"a"] * 20)[3:] == (2.0, 5, 0.0)

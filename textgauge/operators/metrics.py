@@ -2,8 +2,9 @@
 
 ``stages(d)`` lists columns in the order in which they build on each other, from ``text`` to one score in
 [0, 1] for each metric. Metrics that need a linguistic resource read a provider column (``PROVIDERS``); where it is
-null, the documented neutral value or a lexical stand-in counts. Expressions starting with ``@`` compare the row's sentences
-(``operators.sentences``); the DuckDB side of those is written on its own, over all pairs and as joins.
+null, the documented neutral value or a lexical stand-in counts. Expressions starting with ``@`` count the row's words and compare
+its sentences (``operators.sentences``); the DuckDB side of those is written on its own, over arrays, all pairs and as joins. In Spark a
+phrase or pattern is looked for only where the text holds a word that any match must hold (``lexicons.anchors``).
 """
 
 from __future__ import annotations
@@ -51,22 +52,38 @@ def _plain(p: str) -> bool:
     return all(c.isalpha() or c in " '" for c in p)
 
 
-def present(d: Dialect, p: str, text: str = "low", words: str = "wl") -> str:
+def _anchored(d: Dialect, p: str, test: str) -> str:
+    """A test for a phrase or pattern, after a look at the words that the text holds of the lists."""
+    words = lex.anchors(p)
+    if d.name == "duck" or not words or not lex.VOCABULARY.issuperset(words):
+        return test
+    return f"(({' OR '.join(d.contains('known', d.lit(w)) for w in words)}) AND {test})"
+
+
+def present(d: Dialect, p: str, text: str = "low") -> str:
     """Whether a phrase or pattern occurs between word boundaries."""
-    if p.isalpha():
-        return d.contains(words, d.lit(p))
+    words = lex.anchors(p)
+    if p.isalpha() and d.name == "duck":
+        return d.contains("wl", d.lit(p))
+    if lex.VOCABULARY.issuperset(words) and (p.isalpha() or p.endswith("(?:ly)?") and words) and d.name == "spark":
+        return "(" + " OR ".join(d.contains("known", d.lit(w)) for w in words) + ")"
     has = d.has_word(text, _unicode(p))
-    return f"(contains({text}, {d.lit(p)}) AND {has})" if _plain(p) else has
+    return _anchored(d, p, f"(contains({text}, {d.lit(p)}) AND {has})" if _plain(p) else has)
 
 
-def hits(d: Dialect, phrases: list[str], words: str = "wl", low: str = "low", doubled: str = "dbl") -> str:
+def hits(d: Dialect, phrases: list[str], low: str = "low", doubled: str = "dbl") -> str:
     """Occurrences of all phrases: single words by their tokens, others by patterns where the text has them."""
     single = [p for p in phrases if p.isalpha()]
-    out = [d.size(d.filter(words, "w", f"w IN ({', '.join(map(d.lit, single))})"))] if single else []
-    out += [f"CASE WHEN contains({low}, {d.lit(p)}) THEN {d.count_words(doubled, [p])} ELSE 0 END" for p in phrases if not p.isalpha()]
+    out = [d.size(d.filter(_listed(d), "w", f"w IN ({', '.join(map(d.lit, single))})"))] if single else []
+    out += [f"CASE WHEN {_anchored(d, p, f'contains({low}, {d.lit(p)})')} THEN {d.count_words(doubled, [p])} ELSE 0 END" for p in phrases if not p.isalpha()]
     return "(" + " + ".join(out) + ")"
 
 
+def _listed(d: Dialect) -> str:
+    """The text's words, in Spark those that some list holds."""
+    return "known" if d.name == "spark" else "wl"
+
+
 def entropy(d: Dialect, tokens: str, v: str = "i") -> str:
     """Shannon entropy (bits) of a token array: log2(N) - sum(c log2 c) / N over run lengths of the sorted array."""
     n = f"CAST({d.size(tokens)} AS DOUBLE)"
@@ -92,8 +109,16 @@ def stages(d: Dialect) -> list[dict[str, str]]:
     words_low = d.all_matches("low", rf"[{WORD}]+")
 
     one: dict[str, str] = {"t": "coalesce(text, '')"}
-    two = {"low": "lower(t)", "words": d.words("t"), "tokens": d.all_matches("t", token), "sents": d.filter(d.transform(d.split(sentence_cut, "\n"), "x", "trim(x)"), "x", "x <> ''")}
+    spark = d.name == "spark"
+    listed = _listed(d)
+    # tokens set apart by spaces, or cut out
+    tokens = {"marked": f"CAST({d.replace('t', r'([^ \t\n\x0B\f\r\p{L}\p{N}_])', text=' $1 ')} AS BINARY)"} if spark else {"words": d.words("t"), "tokens": d.all_matches("t", token)}
+    two = {"low": "lower(t)", **tokens, "sents": d.filter(d.transform(d.split(sentence_cut, "\n"), "x", "trim(x)"), "x", "x <> ''")}
+    blank = "[ \t\n\x0B\f\r]+"
     prose = d.replace(d.replace(d.replace("t", r"(?s)```.*?```", text=" "), r"`[^`]*`", text=" "), r"(?m)^(?:    |\t).*$", text=" ")
+    if spark:  # a single space stays as it is
+        prose = f"CASE WHEN contains(t, '`') OR contains(t, '    ') OR contains(t, '\t') THEN {prose} ELSE t END"
+        blank = "[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"
     three = {
         "dbl": d.doubled("low"),
         "wl": words_low,
@@ -101,7 +126,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "n_tokens": f"CAST({d.size('tokens')} AS BIGINT)",
         "n_distinct": f"CAST({d.size(d.distinct('tokens'))} AS BIGINT)",
         "ns": f"CAST({d.size('sents')} AS BIGINT)",
-        "prose": f"trim({d.replace(prose, '[ \t\n\x0B\f\r]+', text=' ')})",
+        "prose": f"trim({d.replace(prose, blank, text=' ')})",
         "sent_low": d.transform("sents", "x", "lower(x)"),
         # the first word of letters alone
         "openers": d.transform("sents", "x", d.group("x", rf"(?:^|[^{WORD}])(\p{{L}}+)(?:[^{WORD}]|$)", 1)),
@@ -111,6 +136,18 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "sent_terms": d.transform("sents", "x", d.filter(d.all_matches("lower(x)", r"[\p{L}\p{N}_]{2,}"), "w", f"w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})")),
         "sent_content": d.transform("sents", "x", d.distinct(d.filter(d.all_matches("lower(x)", r"[\p{L}]{3,}"), "w", f"w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})"))),
     }
+    if spark:
+        lines = d.join("sent_low", "\n")
+        cut = {"lines": lines, "spaced": d.replace(lines, rf"[^{WORD} \t\n\x0B\f\r]+", text=" ")}
+        compared = {"tw": "@word_counts(t)", "tk": "@token_counts(marked)", "vocabulary": "@vocabulary(spaced)", "may": "@sentence_kinds(spaced)", "graph": "@sentence_graph(spaced)", "alike": "@sentence_twins(lines)", "sw": "@sentence_lengths(lines)", "vectors": "@term_vectors(spaced)"}
+        # doubled where a phrase may be counted in it
+        phrases = sorted({w for ps in (lex.HEDGES, lex.INJECTIONS, *lex.DISCOURSE.values()) for p in ps if not p.isalpha() for w in lex.anchors(p)})
+        doubled = f"CASE WHEN arrays_overlap(vocabulary.known, {d.array(list(map(d.lit, phrases)))}) THEN {d.doubled('low')} ELSE '' END"
+        counted = {"wc": "tw.n_words", "dbl": doubled, "known": "vocabulary.known", "n_content": "vocabulary.content", "n_tokens": "tk.n_tokens", "n_distinct": "tk.n_distinct"}
+        for c in ("dbl", "wl", "wc", "n_tokens", "n_distinct", "sent_wc", "sent_sets", "sent_terms", "sent_content"):
+            del three[c]
+    else:
+        cut, compared, counted = {}, {}, {}
     kinds = [
         ("EXAMPLE", lex.EXAMPLE_MARKERS),
         ("CONSTRAINT", lex.CONSTRAINT_MARKERS),
@@ -128,18 +165,43 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         return f"CASE {' '.join(whens)} ELSE 'OTHER' END"
 
     pwords = d.words("prose")
+    space, vowels = r"\s\p{Z}\x0B\x1C-\x1F\x85", "aeiouyàâäáéèêëíîïóôöúùûü"
+    if spark:  # words with three groups of vowels in one pass over the text
+        complex_words = d.count("lower(prose)", rf"(?<![^{space}])(?:[^{space}{vowels}]*+[{vowels}]++){{3}}[^{space}]*+")
+        coded, mean_swc, swc_var = "tw.n_code", "sw.mean", "sw.var"
+        tokens_h = f"CASE WHEN n_tokens = 0 THEN {n(0)} ELSE log2(CAST(n_tokens AS DOUBLE)) - tk.spread / CAST(n_tokens AS DOUBLE) END"
+        content, grams, gram_runs, repeated = {}, {}, {}, "tk.repeated"
+        n_parts, part_var, filled, repeats, edges = "tk.parts", "tk.part_var", "alike.filled", "alike.pairs", "graph.shared"
+        each_kind = f"transform(sent_low, (x, i) -> CASE WHEN get(may, i) = 0 THEN 'OTHER' ELSE {kind('x')} END)"
+    else:
+        complex_words = d.size(d.filter(pwords, "w", d.count("lower(w)", f"[{vowels}]+") + " >= 3"))
+        mean_swc, swc_var = f"{d.total('sent_wc')} / ns", _variance(d, "sent_wc")
+        coded = d.size(d.filter("words", "w", d.has("w", lex.CODE)))
+        tokens_h, each_kind = entropy(d, "tokens"), d.transform("sent_low", "x", kind("x"))
+        content = {"n_content": f"CAST({d.size(d.distinct(d.filter('wl', 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})')))} AS BIGINT)"}
+        grams = {
+            "chunk": "greatest(n_tokens // 5, 3)",
+            "grams": f"CASE WHEN n_tokens < 4 THEN [CAST(NULL AS VARCHAR)] ELSE list_concat({d.transform(d.upto('n_tokens - 1'), 'i', f'concat({d.at('tokens', 'i')}, chr(1), {d.at('tokens', 'i + 1')})')}, {d.transform(d.upto('n_tokens - 2'), 'i', f'concat({d.at('tokens', 'i')}, chr(1), {d.at('tokens', 'i + 1')}, chr(1), {d.at('tokens', 'i + 2')})')}) END",
+        }
+        gram_runs = {
+            "gram_runs": f"CASE WHEN n_tokens < 4 THEN NULL ELSE {runs(d, 'grams', 'g')} END",
+            "chunk_h": d.transform(d.filter(d.upto("CASE WHEN n_tokens < 10 THEN 0 ELSE CAST(ceil(n_tokens / CAST(chunk AS DOUBLE)) AS BIGINT) END"), "i", "n_tokens - i * chunk >= 3"), "i", entropy(d, d.part("tokens", "i * chunk", "chunk"), "z")),
+        }
+        repeated = f"CASE WHEN n_tokens < 4 THEN NULL ELSE CAST({d.size(d.filter('gram_runs', 'c', 'c > 1'))} AS DOUBLE) END"
+        n_parts, part_var, filled = d.size("chunk_h"), _variance(d, "chunk_h"), d.size(d.filter("sent_sets", "x", f"{d.size('x')} > 0"))
+        edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
+        repeats = d.size(d.filter(_pairs(d, "ns", 1), "p", f"{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})"))
     four = {
-        "kinds": d.transform("sent_low", "x", kind("x")),
+        "kinds": each_kind,
         "prose_wc": f"CAST({d.size(pwords)} AS BIGINT)",
-        "prose_chars": f"CAST(length({d.replace('prose', r'[^\p{L}\p{N}]', text='')}) AS DOUBLE)",
+        "prose_chars": f"CAST(length({d.replace('prose', rf'[^\p{{L}}\p{{N}}]{'+' if spark else ''}', text='')}) AS DOUBLE)",
         "prose_sents": f"greatest(CAST({d.size(d.filter(d.split('prose', '[.!?]+'), 'x', chr(39).join(['trim(x) <> ', '', ''])))} AS DOUBLE), 1)",
-        "syllables": f"CAST({d.count('lower(prose)', '[aeiouyàâäáéèêëíîïóôöúùûü]+')} AS DOUBLE)",
-        "complex_words": f"CAST({d.size(d.filter(pwords, 'w', d.count('lower(w)', '[aeiouyàâäáéèêëíîïóôöúùûü]+') + ' >= 3'))} AS DOUBLE)",
-        "h": entropy(d, "tokens"),
-        "chunk": f"greatest(n_tokens // 5, 3)" if d.name == "duck" else "greatest(n_tokens DIV 5, 3)",
-        "grams": f"CASE WHEN n_tokens < 4 THEN {d.array(['CAST(NULL AS STRING)']) if d.name == 'spark' else '[CAST(NULL AS VARCHAR)]'} ELSE " + ("concat" if d.name == "spark" else "list_concat") + f"({d.transform(d.upto('n_tokens - 1'), 'i', f'concat({d.at('tokens', 'i')}, chr(1), {d.at('tokens', 'i + 1')})')}, {d.transform(d.upto('n_tokens - 2'), 'i', f'concat({d.at('tokens', 'i')}, chr(1), {d.at('tokens', 'i + 1')}, chr(1), {d.at('tokens', 'i + 2')})')}) END",
+        "syllables": f"CAST({d.count('lower(prose)', f'[{vowels}]+')} AS DOUBLE)",
+        "complex_words": f"CAST({complex_words} AS DOUBLE)",
+        "h": tokens_h,
+        **grams,
         "short_factor": f"CASE WHEN wc >= 30 THEN {n(1)} WHEN wc <= 10 THEN {n(.3)} ELSE {n(.3)} + {n(.7)} * (wc - 10) / 20 END",
-        "mean_swc": f"CASE WHEN ns = 0 THEN {n(0)} ELSE {d.total('sent_wc')} / ns END",
+        "mean_swc": f"CASE WHEN ns = 0 THEN {n(0)} ELSE {mean_swc} END",
     }
 
     def short(x: str) -> str:
@@ -154,54 +216,53 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "k_rules": r"(?m)^-{3,}$",
         "k_labels": label,
     }
-    code = r"[a-z]+[A-Z][A-Za-z]*|[A-Za-z]+_[A-Za-z_]+|[A-Za-z]+\.[A-Za-z.]+|(?:^|[^A-Za-z])[A-Z]{2,}|[A-Za-z_]+\(|<[^<>]+>|\{[^{}]+\}"
     fields = rf"(?m)^[ \t]*[-*][ \t]*`?[{WORD}]+`?[ \t]*[:(][ \t]*(?:string|int|integer|number|float|bool|boolean|array|list|object|date)"
     fenced = d.group("t", r"(?s)```(?:json)?[ \t\n\x0B\f\r]*(\{.*?\})[ \t\n\x0B\f\r]*```", 1)
     substance = d.size(d.filter(d.all_matches("t", rf"(?im)^(?:{lex.LABELS})[ \t]*:[^\n]*"), "x", f"{d.size(d.filter(d.all_matches(d.replace('lower(x)', '^[^:]*:', text=''), rf'[{WORD}]+'), 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.HOLLOW_WORDS))})'))} >= 3"))
     first = {w: d.group("low", rf"(\p{{Nd}}+)[ \t\n\x0B\f\r]*{w}s?", 1) for w in ("word", "sentence", "page")}
-    if d.name == "spark":
-        compared = {"graph": "@sentence_graph(sent_content)", "alike": "@sentence_twins(sent_sets)", "vectors": "@term_vectors(sent_terms)"}
-        edges, repeats = "graph.shared", "alike"
-    else:
-        compared = {}
-        edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
-        repeats = d.size(d.filter(_pairs(d, "ns", 1), "p", f"{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})"))
+    numbers = d.count("dbl", rf"(?:^|[^{WORD}])\p{{Nd}}+(?:\.\.\p{{Nd}}+)?(?:px|ms|mb|gb|kb)?(?:[^{WORD}]|$)")
+    asks = f"({d.has('low', rf'(^|[^{WORD}])(?:{lex.QUESTION})([^{WORD}].*)?\?')} OR {d.has('t', r'(?m)\?$')})"
+    signalled = d.has_word("low", "|".join(_unicode(p) for p in lex.CONSTRAINT_SIGNALS))
+    if spark:
+        first = {w: f"CASE WHEN contains(low, '{w}') THEN {e} ELSE '' END" for w, e in first.items()}
+        numbers = d.count("low", rf"(?<![{WORD}])\p{{Nd}}+(?:\.\p{{Nd}}+)?(?:px|ms|mb|gb|kb)?(?![{WORD}])")
+        asks = f"(contains(t, '?') AND {asks})"
+        signalled = " OR ".join(present(d, p) for p in sorted(lex.CONSTRAINT_SIGNALS, key=lambda p: not p.isalpha()))
     five = {
         **{k: f"CAST({d.count('t', p if d.name == 'duck' else p.replace('x{2022}', 'u2022'))} AS BIGINT)" for k, p in layout.items()},
         "paragraphs": f"CAST({d.size(d.filter(d.split('t', '\n\n'), 'x', chr(39).join(['trim(x) <> ', '', ''])))} AS BIGINT)",
         "solid": f"CAST({substance} AS BIGINT)",
         "fence": fenced,
         # a number stands between boundaries: not "3rd", "100k"; doubled separators leave one for the next number
-        "n_numbers": f"CAST({d.count('dbl', rf'(?:^|[^{WORD}])\p{{Nd}}+(?:\.\.\p{{Nd}}+)?(?:px|ms|mb|gb|kb)?(?:[^{WORD}]|$)')} AS BIGINT)",
+        "n_numbers": f"CAST({numbers} AS BIGINT)",
         "n_quoted": f"CAST({d.count('t', r'"[^"]{2,}"')} + {d.count('t', r"'[^']{2,}'")} AS BIGINT)",
-        "n_code": f"CAST({d.size(d.filter('words', 'w', d.has('w', code)))} AS BIGINT)",
-        "n_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.IMPERATIVES))), 'wl'))} AS BIGINT)",
-        "n_deliverables": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.DELIVERABLES))), 'wl'))} AS BIGINT)",
-        "asks": f"({d.has('low', rf'(^|[^{WORD}])(?:{lex.QUESTION})([^{WORD}].*)?\?')} OR {d.has('t', r'(?m)\?$')})",
+        "n_code": f"CAST({coded} AS BIGINT)",
+        "n_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.IMPERATIVES))), listed))} AS BIGINT)",
+        "n_deliverables": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.DELIVERABLES))), listed))} AS BIGINT)",
+        "asks": asks,
         **{f"c_{k}": d.sum_of([present(d, p) for p in v]) for k, v in lex.CONSTRAINTS.items()},
-        "signalled": f"({d.has_word('low', '|'.join(_unicode(p) for p in lex.CONSTRAINT_SIGNALS))})",
+        "signalled": f"({signalled})",
         **{f"lim_{w}": f"{d.as_double(x)}" for w, x in first.items()},
-        "one_sentence": d.has_word("low", f"(?:one|single){_SPACE}+sentence"),
+        "one_sentence": _anchored(d, "@one_sentence", d.has_word("low", f"(?:one|single){_SPACE}+sentence")),
         **{f"tone_{i}": "(" + " AND ".join("(" + " OR ".join(present(d, p) for p in side) + ")" for side in pair) + ")" for i, pair in enumerate(lex.TONE_PAIRS)},
-        "no_examples": d.has_word("low", f"(?:do not|don'?t|avoid|never){_SPACE}+include{_SPACE}+examples?"),
-        "examples": d.has_word("low", f"(?:include|provide|give|show){_SPACE}+examples?"),
-        "n_persona": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.PERSONA) + ")",
-        "n_injections": "(" + " + ".join(f"CASE WHEN contains(low, {d.lit(_prefix(p))}) THEN {d.count('dbl', f'(?:^|[^{WORD}])(?:{_over_doubled(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
+        "no_examples": _anchored(d, "@no_examples", d.has_word("low", f"(?:do not|don'?t|avoid|never){_SPACE}+include{_SPACE}+examples?")),
+        "examples": _anchored(d, "@examples", d.has_word("low", f"(?:include|provide|give|show){_SPACE}+examples?")),
+        "n_persona": "(" + " + ".join(f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(_prefix(p))})')} THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.PERSONA) + ")",
+        "n_injections": "(" + " + ".join(f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(_prefix(p))})')} THEN {d.count('dbl', f'(?:^|[^{WORD}])(?:{_over_doubled(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
         "n_io": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*(?:input|in|q|question|user)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+\n+[ \t\n\x0B\f\r]*(?:output|out|a|answer|assistant|response)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         "n_examples": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*example[ \t\n\x0B\f\r]*\p{Nd}*[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         # mappings on a line: up to 40 plain characters, an arrow, up to 80 plain characters or brackets
         "n_arrows": f"CAST({d.size(d.filter(d.transform(d.filter(d.split('t', '\n'), 'x', "contains(x, '->')"), 'x', d.replace('x', f'^{_SPACE}+|{_SPACE}+$')), 'x', d.has('x', rf'^[{WORD} \t\x0B\f\r{_QUOTES}.,]{{1,40}}{_SPACE}*->{_SPACE}*[{WORD} \t\x0B\f\r{_QUOTES}.,\[\]{{}}]{{1,80}}$')))} AS BIGINT)",
         "n_hedges": f"CAST({hits(d, lex.HEDGES)} AS BIGINT)",
-        "n_task_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.TASK_VERBS))), 'wl'))} AS BIGINT)",
+        "n_task_verbs": f"CAST({d.size(d.common(d.array(list(map(d.lit, lex.TASK_VERBS))), listed))} AS BIGINT)",
         "n_imperatives": f"CAST({d.size(d.filter('openers', 'w', f'lower(w) IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
-        "n_soft": f"CAST({d.size(d.filter('wl', 'w', f'w IN ({', '.join(map(d.lit, lex.SOFTENERS))})'))} AS BIGINT)",
+        "n_soft": f"CAST({d.size(d.filter(listed, 'w', f'w IN ({', '.join(map(d.lit, lex.SOFTENERS))})'))} AS BIGINT)",
         "n_caps": f"CAST({d.size(d.filter('openers', 'w', f'length(w) > 2 AND upper(w) = w AND lower(w) IN ({', '.join(map(d.lit, lex.TASK_VERBS))})'))} AS BIGINT)",
         **{f"m_{k}": f"CAST({hits(d, v)} AS BIGINT)" for k, v in lex.DISCOURSE.items()},
-        "n_pronouns": f"CAST({d.size(d.filter('wl', 'w', f'w IN ({', '.join(map(d.lit, lex.PRONOUNS))})'))} AS BIGINT)",
-        "n_content": f"CAST({d.size(d.distinct(d.filter('wl', 'w', f'length(w) > 2 AND w NOT IN ({', '.join(map(d.lit, lex.STOP_WORDS))})')))} AS BIGINT)",
-        "gram_runs": f"CASE WHEN n_tokens < 4 THEN NULL ELSE {runs(d, 'grams', 'g')} END",
-        "chunk_h": d.transform(d.filter(d.upto("CASE WHEN n_tokens < 10 THEN 0 ELSE CAST(ceil(n_tokens / CAST(chunk AS DOUBLE)) AS BIGINT) END"), "i", "n_tokens - i * chunk >= 3"), "i", entropy(d, d.part("tokens", "i * chunk", "chunk"), "z")),
-        "filled": f"CAST({d.size(d.filter('sent_sets', 'x', f'{d.size(chr(120))} > 0'))} AS DOUBLE)",
+        "n_pronouns": f"CAST({d.size(d.filter(listed, 'w', f'w IN ({', '.join(map(d.lit, lex.PRONOUNS))})'))} AS BIGINT)",
+        **content,
+        **gram_runs,
+        "filled": f"CAST({filled} AS DOUBLE)",
         "repeats": f"CAST({repeats} AS DOUBLE)",
         "edges": f"CAST(greatest(ns - 1, 0) + {edges} AS BIGINT)",
         **{f"mean_{k.lower()}": _mean_place(d, k) for k in ("CONTEXT", "TASK", "CONSTRAINT")},
@@ -231,9 +292,9 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "shots": "CASE WHEN n_arrows >= 2 THEN greatest(n_io + greatest(n_examples - 1, 0), n_arrows) ELSE n_io + greatest(n_examples - 1, 0) END",
         "marker_kinds": d.sum_of([f"m_{k} > 0" for k in lex.DISCOURSE]),
         "marker_total": "(" + " + ".join(f"m_{k}" for k in lex.DISCOURSE) + ")",
-        "repeated_grams": f"CASE WHEN n_tokens < 4 THEN NULL ELSE CAST({d.size(d.filter('gram_runs', 'c', 'c > 1'))} AS DOUBLE) END",
-        "chunk_var": _variance(d, "chunk_h"),
-        "swc_var": _variance(d, "sent_wc"),
+        "repeated_grams": repeated,
+        "chunk_var": part_var,
+        "swc_var": swc_var,
         "schema_json": f"CASE WHEN fence = '' THEN 0 ELSE 1 END",
     }
     schema = [("n_json >= 2", .85), ("n_json IS NULL AND fence <> '' AND " + d.has_word("lower(fence)", "string|number|int|integer|float|boolean|bool|array|object|date"), .7), ("s_types", .85), ("s_yaml", .8), ("s_code", .7), ("s_fields", .75)]
@@ -277,7 +338,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "information_density": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(clamp('10 * h / n_tokens'))} END",
         "vocabulary_richness": f"CASE WHEN n_tokens < 2 THEN {n(0)} ELSE {short(f'CASE WHEN p_diversity IS NULL THEN {clamp(fallback)} ELSE {clamp(f'(n_distinct / CAST(n_tokens AS DOUBLE) + 3 * p_diversity) / 4')} END')} END",
         "ngram_repetition": f"CASE WHEN n_tokens < 4 THEN {n(.3)} ELSE {short(clamp(f'1 - 3 * repeated_grams / (2 * n_tokens - 3)'))} END",
-        "burstiness": f"CASE WHEN n_tokens < 10 OR {d.size('chunk_h')} < 2 THEN {n(.3)} ELSE {short(clamp('1 - 2 * chunk_var'))} END",
+        "burstiness": f"CASE WHEN n_tokens < 10 OR {n_parts} < 2 THEN {n(.3)} ELSE {short(clamp('1 - 2 * chunk_var'))} END",
         "sentence_repetition": f"CASE WHEN ns < 2 OR pairs = 0 THEN {n(.5)} ELSE {clamp('1 - 2 * repeats / pairs')} END",
         "completeness": clamp(f"{n(.33)} * {flow_types} + CASE WHEN {d.contains('kinds', d.lit('EXAMPLE'))} THEN {n(.1)} ELSE {n(0)} END"),
         "has_context": f"CASE WHEN mean_context IS NULL THEN {n(0)} ELSE {n(1)} END",
@@ -293,7 +354,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
             "topic_focus": f"CASE WHEN ns <= 1 THEN {n(.5)} ELSE coalesce(vectors.topic_focus, {n(.5)}) END",
             "centrality": f"CASE WHEN ns <= 1 THEN {n(.4)} ELSE {d.gauss('graph.rank_cv', .4, .3)} END",
         }
-    return [one, two, three, compared, four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
+    return [one, two, three, cut, compared, counted, four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
 
 
 def _over_doubled(pattern: str) -> str:

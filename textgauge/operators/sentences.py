@@ -1,21 +1,31 @@
-"""What compares a text's sentences with each other: sentence graph, repeats, term vectors.
+"""What counts a text's tokens and words and compares its sentences with each other: entropies, repeats, sentence graph, term vectors.
 
-Each works from the words that sentences share, never from all pairs of sentences, so a text of many thousand
-sentences costs little more than reading it. The functions run in Arrow batches over the sentences' words,
-which the row's own expressions have cut out; texts are never shuffled or joined for them.
+Comparisons work from the words that sentences share, never from all pairs of sentences, so a text of many thousand
+sentences costs little more than reading it. The functions run in Arrow batches over strings in which the row's own
+expressions have set the tokens apart, so both engines agree on what a letter is; texts are never shuffled or joined for them.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from textgauge.functions import lexicons as lex
+
 #: Words of more sentences than this are held as bit sets.
 FREQUENT = 64
+#: Sentences of a text up to which each word's sentences are held as the bits of one number.
+SMALL = 2048
+#: Texts, and sentences of theirs, that are compared in one go.
+TOGETHER, SENTENCES = 512, 20_000
+#: Distinct tokens of a text up to which three of them make one number.
+DISTINCT = 2_000_000
 
 
 def _places(sentences: list) -> dict[str, list[int]]:
@@ -133,24 +143,269 @@ def term_scores(terms: list) -> tuple[float | None, float | None]:
     return bound(1.5 * (w[1:] * w[:-1])[follows].sum() / (n - 1)), bound(1 - 2 * (1 - along))
 
 
-def _graphs(content: pd.Series) -> pd.DataFrame:
-    rows = [(shared_pairs(x), page_rank_variation(x)) for x in map(list, content)]
-    return pd.DataFrame({"shared": pd.Series([r[0] for r in rows], dtype="int64"), "rank_cv": pd.Series([r[1] for r in rows], dtype="float64")})
+def _log2(x: float) -> float:
+    return math.log(x) / math.log(2)
+
+
+def _spread_of(counts) -> float:
+    """The sum of c log2 c."""
+    return math.fsum(c * _log2(c) for c in counts if c > 1)
+
+
+def _repeated(keys: np.ndarray) -> int:
+    """How many distinct values occur more than once."""
+    keys = np.sort(keys)
+    same = keys[1:] == keys[:-1]
+    return int(same[:1].sum() + (same[1:] & ~same[:-1]).sum())
+
+
+def token_counts(tokens: list) -> tuple:
+    """Number of tokens, distinct tokens, sum of c log2 c over their counts; repeated sequences of two and three tokens (none below
+    four tokens); number and variance of the entropies of the text's parts, a fifth each (none below ten tokens)."""
+    n = len(tokens)
+    counts = Counter(tokens)
+    repeated, parts = None, []
+    if n >= 4:
+        index = {w: i for i, w in enumerate(counts)}
+        ids = np.fromiter(map(index.__getitem__, tokens), np.int64, n)
+        two = ids[:-1] * len(index) + ids[1:]
+        left = two if len(index) < DISTINCT else np.unique(two, return_inverse=True)[1]
+        repeated = float(_repeated(two) + _repeated(left[:-1] * len(index) + ids[2:]))
+    if n >= 10:
+        size = max(n // 5, 3)
+        for part in (tokens[i : i + size] for i in range(0, n - 2, size)):
+            parts.append(_log2(len(part)) - _spread_of(Counter(part).values()) / len(part))
+    mean = sum(parts) / len(parts) if parts else 0.0
+    return n, len(counts), _spread_of(counts.values()), repeated, len(parts), sum((p - mean) * (p - mean) for p in parts) / len(parts) if parts else None
+
+
+def _tokens(marked: pd.Series) -> pd.DataFrame:
+    rows = [token_counts(x.split()) for x in marked]  # bytes split at ASCII white space, which is what tokens are without
+    types = {"n_tokens": "int64", "n_distinct": "int64", "spread": "float64", "repeated": "float64", "parts": "int64", "part_var": "float64"}
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate(types.items())})
+
+
+_CODE = re.compile(lex.CODE)
+
+
+def _words(texts: pd.Series) -> pd.DataFrame:
+    """Numbers of words, and of words that look like code: none in lower case, or with a capital at its start alone."""
+    rows = []
+    for x in texts:
+        words = x.split()
+        rows.append((len(words), sum(1 for w in words if not (w.isalpha() and (w.islower() or w.istitle())) and _CODE.search(w))))
+    return pd.DataFrame(rows, columns=["n_words", "n_code"], dtype="int64")
+
+
+def _lengths(lines: pd.Series) -> pd.DataFrame:
+    """Mean and variance of the sentences' numbers of words."""
+    rows = []
+    for x in lines:
+        n = [len(line.split()) for line in _cut(x)]
+        mean = sum(n) / len(n) if n else None
+        rows.append((mean, sum((k - mean) * (k - mean) for k in n) / len(n) if n else None))
+    return pd.DataFrame(rows, columns=["mean", "var"], dtype="float64")
+
+
+_STOP = frozenset(lex.STOP_WORDS)
+
+
+def _letters(words: list[str]) -> set[str]:
+    """Runs of three and more letters within words, without stop words."""
+    out = set()
+    for w in words:
+        if w.isalpha():
+            out.add(w)
+        else:
+            out.update(r for r in ("".join(g) for k, g in groupby(w, str.isalpha) if k) if r not in _STOP)
+    return {w for w in out if len(w) > 2}
+
+
+def _shared(content: list) -> int:
+    """``shared_pairs``, by one number a word where the text is short."""
+    if len(content) > SMALL:
+        return shared_pairs(content)
+    masks: dict[str, int] = {}
+    for i, words in enumerate(content):
+        for w in words:
+            masks[w] = masks.get(w, 0) | 1 << i
+    total = 0
+    for i, words in enumerate(content):
+        union = 0
+        for w in words:
+            union |= masks[w]
+        total += (union >> i + 2).bit_count()
+    return total
+
+
+def _numbered(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts, each a list of sentences: the texts' numbers of sentences, the sentences' texts, and the words, numbered anew
+    in each text, with the sentences they are in."""
+    n = np.array([len(t) for t in texts], np.int64)
+    words: list[int] = []
+    lengths: list[int] = []
+    base = 0
+    for t in texts:
+        index: dict[str, int] = {}
+        for sentence in t:
+            words += [index.setdefault(w, len(index)) + base for w in sentence]
+            lengths.append(len(sentence))
+        base += len(index)
+    return n, np.repeat(np.arange(len(texts)), n), np.array(words, np.int64), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def page_ranks(texts: list, alpha: float = 0.85, most: int = 100) -> np.ndarray:
+    """``page_rank_variation`` of each of many texts, all of which take their steps together; a text stands still once its ranks do."""
+    found = np.full(len(texts), np.nan)
+    left = np.array([k for k, t in enumerate(texts) if len(t) > 1], np.int64)
+    if not len(left):
+        return found
+    n, text, word, sentence = _numbered([texts[k] for k in left])
+    size = n[text].astype(float)
+    starts = np.cumsum(n) - n
+    linked = np.bincount(word)[word] > 1 if len(word) else np.zeros(0, bool)  # a word of one sentence links nothing
+    word, sentence = word[linked], sentence[linked]
+    order = np.lexsort((sentence, word))
+    word, sentence = word[order], sentence[order]
+    begins = np.r_[True, word[1:] != word[:-1]] if len(word) else linked[:0]
+    heads = np.flatnonzero(begins)
+    counts = np.diff(np.r_[heads, len(word)])
+    first = np.repeat(heads, counts)
+    previous = np.where(begins, -2, np.r_[-2, sentence[:-1]][: len(sentence)])
+    neighbour = previous == sentence - 1  # the chain takes the place of the edge to the sentence before
+    out = np.bincount(sentence, weights=np.repeat(heads + counts, counts) - np.arange(len(word)) - 1, minlength=len(text))
+    out -= np.bincount(previous[neighbour], minlength=len(text))
+    chained = np.ones(len(text), bool)
+    chained[starts] = False
+    out[:-1] += chained[1:]
+    hanging = out == 0
+    share = np.divide(1.0, out, out=np.zeros(len(text)), where=~hanging)
+    rank = 1 / size
+    moving = np.ones(len(left), bool)
+    for _ in range(most):
+        give = rank * share
+        flow = np.where(chained, np.r_[0.0, give[:-1]], 0.0)
+        if len(sentence):
+            before = np.r_[0.0, np.cumsum(give[sentence])]
+            into = before[:-1] - before[first] - np.where(neighbour, give[previous], 0.0)
+            flow += np.bincount(sentence, weights=into, minlength=len(text))
+        loose = np.bincount(text, weights=rank * hanging, minlength=len(left))
+        new = alpha * (flow + loose[text] / size) + (1 - alpha) / size
+        close = np.add.reduceat(np.abs(new - rank), starts) < n * 1e-6
+        rank = np.where(moving[text], new, rank)
+        moving &= ~close
+        if not moving.any():
+            break
+    mean = np.add.reduceat(rank, starts) / n
+    found[left] = np.sqrt(np.add.reduceat((rank - mean[text]) ** 2, starts) / n) / mean
+    return found
+
+
+def many_term_scores(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """``term_scores`` of each of many texts, NaN for none."""
+    scores = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+    left = np.array([k for k, t in enumerate(texts) if len(t) > 1 and any(t)], np.int64)
+    if not len(left):
+        return scores
+    n, text, word, sentence = _numbered([texts[k] for k in left])
+    keys, tf = np.unique(word * len(text) + sentence, return_counts=True)
+    term, sentence = keys // len(text), keys % len(text)
+    of = text[sentence]
+    raw = tf * (np.log((1 + n[of]) / (1 + np.bincount(term)[term])) + 1)
+    w = raw / np.sqrt(np.bincount(sentence, weights=raw * raw))[sentence]
+    follows = np.flatnonzero((term[1:] == term[:-1]) & (sentence[1:] == sentence[:-1] + 1))
+    near = np.bincount(of[follows], weights=w[follows] * w[follows + 1], minlength=len(left)) / (n - 1)
+    owner = np.zeros(term[-1] + 1, np.int64)
+    owner[term] = of
+    centroid = np.bincount(term, weights=w) / n[owner]
+    length = np.sqrt(np.bincount(owner, weights=centroid * centroid, minlength=len(left)))
+    along = np.bincount(of, weights=w * centroid[term], minlength=len(left)) / length / n
+    scores[0][left] = np.clip(1.5 * near, 0, 1)
+    scores[1][left] = np.clip(1 - 2 * (1 - along), 0, 1)
+    return scores
+
+
+def _groups(lines: list) -> list[slice]:
+    """Texts to compare in one go."""
+    out, start, sentences = [], 0, 0
+    for k, x in enumerate(lines):
+        sentences += x.count("\n") + 1
+        if k + 1 - start == TOGETHER or sentences >= SENTENCES:
+            out.append(slice(start, k + 1))
+            start, sentences = k + 1, 0
+    return out + [slice(start, len(lines))]
+
+
+def _cut(text: str) -> list[str]:
+    return text.split("\n") if text else []
+
+
+def _graphs(spaced: pd.Series) -> pd.DataFrame:
+    shared, ranks = [], []
+    texts = spaced.tolist()
+    for part in _groups(texts):
+        content = [[_letters([w for w in line.split() if w not in _STOP]) for line in _cut(x)] for x in texts[part]]
+        shared += map(_shared, content)
+        ranks.append(page_ranks(content))
+    rank = pd.Series(np.concatenate(ranks)).astype(object)
+    return pd.DataFrame({"shared": pd.Series(shared, dtype="int64"), "rank_cv": rank.where(rank.notna(), None)})
+
+
+def _vectors(spaced: pd.Series) -> pd.DataFrame:
+    found = []
+    texts = spaced.tolist()
+    for part in _groups(texts):
+        found.append(many_term_scores([[[w for w in line.split() if len(w) > 1 and w not in _STOP] for line in _cut(x)] for x in texts[part]]))
+    both = (pd.Series(np.concatenate([f[i] for f in found])).astype(object) for i in (0, 1))
+    return pd.DataFrame({c: x.where(x.notna(), None) for c, x in zip(("coherence", "topic_focus"), both)})
+
+
+_MARKS = ".,!?;:"
+
+
+def _twins(lines: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in lines:
+        sets = [{w.strip(_MARKS) for w in line.split() if len(w) > 2} for line in _cut(x)]
+        rows.append((twins(sets), sum(1 for s in sets if s)))
+    return pd.DataFrame(rows, columns=["pairs", "filled"], dtype="int64")
+
+
+#: Words that a sentence of each kind holds one of.
+_KIND_WORDS = [frozenset(ws) for ws in lex.KIND_WORDS.values()]
+
+
+def _kinds(spaced: pd.Series) -> pd.Series:
+    """Of each sentence, as bits, the kinds whose markers it may hold, by its words."""
+    rows = []
+    for x in spaced:
+        words = [line.split() for line in _cut(x)]
+        rows.append([sum(1 << k for k, ws in enumerate(_KIND_WORDS) if not ws.isdisjoint(line)) for line in words])
+    return pd.Series(rows)
 
 
-def _twins(sets: pd.Series) -> pd.Series:
-    return pd.Series([twins(list(x)) for x in sets], dtype="int64")
+_VOCABULARY = frozenset(lex.VOCABULARY)
 
 
-def _vectors(terms: pd.Series) -> pd.DataFrame:
-    rows = [term_scores(list(x)) for x in terms]
-    return pd.DataFrame(rows, columns=["coherence", "topic_focus"], dtype="float64")
+def _vocabulary(spaced: pd.Series) -> pd.DataFrame:
+    """The words of the lists, each as often as the text has it, and how many other content words there are."""
+    known, content = [], []
+    for x in spaced:
+        words = x.split()
+        known.append([w for w in words if w in _VOCABULARY])
+        content.append(sum(1 for w in set(words) - _STOP if len(w) > 2))
+    return pd.DataFrame({"known": known, "content": pd.Series(content, dtype="int64")})
 
 
 #: Functions by the name that an expression calls them with, and what they return.
 FUNCTIONS = {
+    "token_counts": (_tokens, "n_tokens long, n_distinct long, spread double, repeated double, parts long, part_var double"),
+    "word_counts": (_words, "n_words long, n_code long"),
+    "sentence_lengths": (_lengths, "mean double, var double"),
+    "vocabulary": (_vocabulary, "known array<string>, content long"),
+    "sentence_kinds": (_kinds, "array<int>"),
     "sentence_graph": (_graphs, "shared long, rank_cv double"),
-    "sentence_twins": (_twins, "long"),
+    "sentence_twins": (_twins, "pairs long, filled long"),
     "term_vectors": (_vectors, "coherence double, topic_focus double"),
 }
 
