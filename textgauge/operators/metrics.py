@@ -71,11 +71,12 @@ def present(d: Dialect, p: str, text: str = "low") -> str:
     return _anchored(d, p, f"(contains({text}, {d.lit(p)}) AND {has})" if _plain(p) else has)
 
 
-def hits(d: Dialect, phrases: list[str], low: str = "low", doubled: str = "dbl") -> str:
+def hits(d: Dialect, phrases: list[str]) -> str:
     """Occurrences of all phrases: single words by their tokens, others by patterns where the text has them."""
     single = [p for p in phrases if p.isalpha()]
     out = [d.size(d.filter(_listed(d), "w", f"w IN ({', '.join(map(d.lit, single))})"))] if single else []
-    out += [f"CASE WHEN {_anchored(d, p, f'contains({low}, {d.lit(p)})')} THEN {d.count_words(doubled, [p])} ELSE 0 END" for p in phrases if not p.isalpha()]
+    counts = {p: d.count("low", f"(?<![{WORD}]){p}(?![{WORD}])") if d.name == "spark" else d.count_words("dbl", [p]) for p in phrases if not p.isalpha()}
+    out += [f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(p)})')} THEN {count} ELSE 0 END" for p, count in counts.items()]
     return "(" + " + ".join(out) + ")"
 
 
@@ -139,11 +140,8 @@ def stages(d: Dialect) -> list[dict[str, str]]:
     if spark:
         lines = d.join("sent_low", "\n")
         cut = {"lines": lines, "spaced": d.replace(lines, rf"[^{WORD} \t\n\x0B\f\r]+", text=" ")}
-        compared = {"tw": "@word_counts(t)", "tk": "@token_counts(marked)", "vocabulary": "@vocabulary(spaced)", "may": "@sentence_kinds(spaced)", "graph": "@sentence_graph(spaced)", "alike": "@sentence_twins(lines)", "sw": "@sentence_lengths(lines)", "vectors": "@term_vectors(spaced)"}
-        # doubled where a phrase may be counted in it
-        phrases = sorted({w for ps in (lex.HEDGES, lex.INJECTIONS, *lex.DISCOURSE.values()) for p in ps if not p.isalpha() for w in lex.anchors(p)})
-        doubled = f"CASE WHEN arrays_overlap(vocabulary.known, {d.array(list(map(d.lit, phrases)))}) THEN {d.doubled('low')} ELSE '' END"
-        counted = {"wc": "tw.n_words", "dbl": doubled, "known": "vocabulary.known", "n_content": "vocabulary.content", "n_tokens": "tk.n_tokens", "n_distinct": "tk.n_distinct"}
+        compared = {"tw": "@word_counts(t)", "pr": "@prose_counts(prose)", "tk": "@token_counts(marked)", "vocabulary": "@vocabulary(spaced)", "may": "@sentence_kinds(spaced)", "graph": "@sentence_graph(spaced)", "alike": "@sentence_twins(lines)", "sw": "@sentence_lengths(lines)", "vectors": "@term_vectors(spaced)"}
+        counted = {"wc": "tw.n_words", "known": "vocabulary.known", "n_content": "vocabulary.content", "n_tokens": "tk.n_tokens", "n_distinct": "tk.n_distinct"}
         for c in ("dbl", "wl", "wc", "n_tokens", "n_distinct", "sent_wc", "sent_sets", "sent_terms", "sent_content"):
             del three[c]
     else:
@@ -165,7 +163,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         return f"CASE {' '.join(whens)} ELSE 'OTHER' END"
 
     pwords = d.words("prose")
-    space, vowels = r"\s\p{Z}\x0B\x1C-\x1F\x85", "aeiouyàâäáéèêëíîïóôöúùûü"
+    space, vowels = r"\s\p{Z}\x0B\x1C-\x1F\x85", lex.VOWELS
     if spark:  # words with three groups of vowels in one pass over the text
         complex_words = d.count("lower(prose)", rf"(?<![^{space}])(?:[^{space}{vowels}]*+[{vowels}]++){{3}}[^{space}]*+")
         coded, mean_swc, swc_var = "tw.n_code", "sw.mean", "sw.var"
@@ -191,13 +189,18 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         n_parts, part_var, filled = d.size("chunk_h"), _variance(d, "chunk_h"), d.size(d.filter("sent_sets", "x", f"{d.size('x')} > 0"))
         edges = d.size(d.filter(_pairs(d, "ns", 2), "p", d.overlap(d.at("sent_content", "p.a"), d.at("sent_content", "p.b"))))
         repeats = d.size(d.filter(_pairs(d, "ns", 1), "p", f"{d.size(d.common(d.at('sent_sets', 'p.a'), d.at('sent_sets', 'p.b')))} > {n(.7)} * least({d.size(d.at('sent_sets', 'p.a'))}, {d.size(d.at('sent_sets', 'p.b'))})"))
-    four = {
-        "kinds": each_kind,
+    prosaic = {
         "prose_wc": f"CAST({d.size(pwords)} AS BIGINT)",
         "prose_chars": f"CAST(length({d.replace('prose', rf'[^\p{{L}}\p{{N}}]{'+' if spark else ''}', text='')}) AS DOUBLE)",
         "prose_sents": f"greatest(CAST({d.size(d.filter(d.split('prose', '[.!?]+'), 'x', chr(39).join(['trim(x) <> ', '', ''])))} AS DOUBLE), 1)",
         "syllables": f"CAST({d.count('lower(prose)', f'[{vowels}]+')} AS DOUBLE)",
         "complex_words": f"CAST({complex_words} AS DOUBLE)",
+    }
+    if spark:  # counted with the words where Python and Java are of one mind about the characters
+        prosaic = {k: f"CASE WHEN pr.{k} IS NOT NULL THEN pr.{k} ELSE {e} END" for k, e in prosaic.items()}
+    four = {
+        "kinds": each_kind,
+        **prosaic,
         "h": tokens_h,
         **grams,
         "short_factor": f"CASE WHEN wc >= 30 THEN {n(1)} WHEN wc <= 10 THEN {n(.3)} ELSE {n(.3)} + {n(.7)} * (wc - 10) / 20 END",
@@ -248,7 +251,7 @@ def stages(d: Dialect) -> list[dict[str, str]]:
         "no_examples": _anchored(d, "@no_examples", d.has_word("low", f"(?:do not|don'?t|avoid|never){_SPACE}+include{_SPACE}+examples?")),
         "examples": _anchored(d, "@examples", d.has_word("low", f"(?:include|provide|give|show){_SPACE}+examples?")),
         "n_persona": "(" + " + ".join(f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(_prefix(p))})')} THEN {d.count('low', f'(?:^|[^{WORD}])(?:{_unicode(p)})')} ELSE 0 END" for p in lex.PERSONA) + ")",
-        "n_injections": "(" + " + ".join(f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(_prefix(p))})')} THEN {d.count('dbl', f'(?:^|[^{WORD}])(?:{_over_doubled(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
+        "n_injections": "(" + " + ".join(f"CASE WHEN {_anchored(d, p, f'contains(low, {d.lit(_prefix(p))})')} THEN {d.count(d.doubled('low') if spark else 'dbl', f'(?:^|[^{WORD}])(?:{_over_doubled(p)})')} ELSE 0 END" for p in lex.INJECTIONS) + ")",
         "n_io": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*(?:input|in|q|question|user)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+\n+[ \t\n\x0B\f\r]*(?:output|out|a|answer|assistant|response)[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         "n_examples": f"CAST({d.count('t', r'(?im)^[ \t\n\x0B\f\r]*example[ \t\n\x0B\f\r]*\p{Nd}*[ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*.+')} AS BIGINT)",
         # mappings on a line: up to 40 plain characters, an arrow, up to 80 plain characters or brackets

@@ -109,13 +109,14 @@ def twins(sets: list, share: float = 0.7) -> int:
     found = sum(c * (c - 1) // 2 for c in groups.values())
     kinds = sorted(groups, key=len)
     where = _places(kinds)
+    rarity = {w: (len(at), w) for w, at in where.items()}
     for a, words in enumerate(kinds):
         size = len(words)
         enough = math.floor(share * size)
         while enough <= share * size:
             enough += 1
-        probe = sorted(words, key=lambda w: (len(where[w]), w))[: size - enough + 1]
-        for b in {b for w in probe for b in where[w] if b > a}:
+        probe = sorted(words, key=rarity.__getitem__)[: size - enough + 1]
+        for b in {b for w in probe if where[w][-1] > a for b in where[w] if b > a}:
             if len(words & kinds[b]) >= enough:
                 found += groups[words] * groups[kinds[b]]
     return found
@@ -143,13 +144,9 @@ def term_scores(terms: list) -> tuple[float | None, float | None]:
     return bound(1.5 * (w[1:] * w[:-1])[follows].sum() / (n - 1)), bound(1 - 2 * (1 - along))
 
 
-def _log2(x: float) -> float:
-    return math.log(x) / math.log(2)
-
-
-def _spread_of(counts) -> float:
-    """The sum of c log2 c."""
-    return math.fsum(c * _log2(c) for c in counts if c > 1)
+def _spread_of(counts: np.ndarray) -> np.ndarray:
+    """c log2 c of each count, 0 of none."""
+    return counts * np.log2(np.maximum(counts, 1))
 
 
 def _repeated(keys: np.ndarray) -> int:
@@ -163,20 +160,25 @@ def token_counts(tokens: list) -> tuple:
     """Number of tokens, distinct tokens, sum of c log2 c over their counts; repeated sequences of two and three tokens (none below
     four tokens); number and variance of the entropies of the text's parts, a fifth each (none below ten tokens)."""
     n = len(tokens)
-    counts = Counter(tokens)
-    repeated, parts = None, []
+    index: dict[bytes, int] = {}
+    ids = np.array([index.setdefault(w, len(index)) for w in tokens], np.int64)
+    repeated, parts = None, 0
+    variance = None
     if n >= 4:
-        index = {w: i for i, w in enumerate(counts)}
-        ids = np.fromiter(map(index.__getitem__, tokens), np.int64, n)
         two = ids[:-1] * len(index) + ids[1:]
         left = two if len(index) < DISTINCT else np.unique(two, return_inverse=True)[1]
         repeated = float(_repeated(two) + _repeated(left[:-1] * len(index) + ids[2:]))
     if n >= 10:
         size = max(n // 5, 3)
-        for part in (tokens[i : i + size] for i in range(0, n - 2, size)):
-            parts.append(_log2(len(part)) - _spread_of(Counter(part).values()) / len(part))
-    mean = sum(parts) / len(parts) if parts else 0.0
-    return n, len(counts), _spread_of(counts.values()), repeated, len(parts), sum((p - mean) * (p - mean) for p in parts) / len(parts) if parts else None
+        parts = (n - 3) // size + 1  # a part has three tokens at least
+        here = ids[: parts * size]
+        lengths = np.full(parts, size)
+        lengths[-1] = len(here) - (parts - 1) * size
+        of = np.arange(len(here)) // size
+        keys, counts = np.unique(of * len(index) + here, return_counts=True)
+        h = np.log2(lengths) - np.bincount(keys // len(index), weights=_spread_of(counts)) / lengths
+        variance = float(np.square(h - h.mean()).mean())
+    return n, len(index), float(_spread_of(np.bincount(ids)).sum()) if n else 0.0, repeated, parts, variance
 
 
 def _tokens(marked: pd.Series) -> pd.DataFrame:
@@ -186,6 +188,33 @@ def _tokens(marked: pd.Series) -> pd.DataFrame:
 
 
 _CODE = re.compile(lex.CODE)
+#: Characters that later versions of Unicode leave as they are: Latin letters and common punctuation.
+_OTHER = re.compile("[^\x00-\u024f\u2000-\u206f]")
+#: Vowels, white space and others.
+_SOUNDS = {i: "a" if chr(i) in lex.VOWELS else "\n" if chr(i).isspace() else " " for i in (*range(0x250), *range(0x2000, 0x2070))}
+_ASCII_SOUNDS = "".join(_SOUNDS[i] for i in range(128)).encode() + b" " * 128
+_MARKS_ASCII = bytes(i for i in range(256) if not (i < 128 and chr(i).isalnum()))
+
+
+def _prose(texts: pd.Series) -> pd.DataFrame:
+    """Words, letters and digits, sentences, groups of vowels, and words with three of them; none for texts with other characters."""
+    rows = []
+    for x in texts:
+        if x.isascii():
+            raw = x.encode()
+            chars, sounds = len(raw.translate(None, _MARKS_ASCII)), raw.lower().translate(_ASCII_SOUNDS).split(b"\n")
+        elif _OTHER.search(low := x.lower()) or _OTHER.search(x):
+            rows.append((None,) * 5)
+            continue
+        else:
+            chars, sounds = sum(map(str.isalnum, x)), low.translate(_SOUNDS).split("\n")
+        groups = [len(w.split()) for w in sounds]
+        rows.append((len(x.split()), chars, max(1, sum(1 for p in _ENDS.split(x) if p.strip(" "))), sum(groups), sum(1 for g in groups if g > 2)))
+    names = ["prose_wc", "prose_chars", "prose_sents", "syllables", "complex_words"]
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="Int64" if i == 0 else "Float64") for i, c in enumerate(names)})
+
+
+_ENDS = re.compile("[.!?]+")
 
 
 def _words(texts: pd.Series) -> pd.DataFrame:
@@ -210,15 +239,12 @@ def _lengths(lines: pd.Series) -> pd.DataFrame:
 _STOP = frozenset(lex.STOP_WORDS)
 
 
-def _letters(words: list[str]) -> set[str]:
-    """Runs of three and more letters within words, without stop words."""
-    out = set()
-    for w in words:
-        if w.isalpha():
-            out.add(w)
-        else:
-            out.update(r for r in ("".join(g) for k, g in groupby(w, str.isalpha) if k) if r not in _STOP)
-    return {w for w in out if len(w) > 2}
+def _letters(line: str) -> set[str]:
+    """A sentence's distinct runs of three and more letters, without stop words."""
+    words = [w for w in line.split() if len(w) > 2]
+    if not all(map(str.isalpha, words)):
+        words = [r for w in words for r in ("".join(g) for k, g in groupby(w, str.isalpha) if k) if len(r) > 2]
+    return set(words) - _STOP
 
 
 def _shared(content: list) -> int:
@@ -344,7 +370,7 @@ def _graphs(spaced: pd.Series) -> pd.DataFrame:
     shared, ranks = [], []
     texts = spaced.tolist()
     for part in _groups(texts):
-        content = [[_letters([w for w in line.split() if w not in _STOP]) for line in _cut(x)] for x in texts[part]]
+        content = [[_letters(line) for line in _cut(x)] for x in texts[part]]
         shared += map(_shared, content)
         ranks.append(page_ranks(content))
     rank = pd.Series(np.concatenate(ranks)).astype(object)
@@ -373,6 +399,7 @@ def _twins(lines: pd.Series) -> pd.DataFrame:
 
 #: Words that a sentence of each kind holds one of.
 _KIND_WORDS = [frozenset(ws) for ws in lex.KIND_WORDS.values()]
+_ANY_KIND = frozenset().union(*_KIND_WORDS)
 
 
 def _kinds(spaced: pd.Series) -> pd.Series:
@@ -380,7 +407,7 @@ def _kinds(spaced: pd.Series) -> pd.Series:
     rows = []
     for x in spaced:
         words = [line.split() for line in _cut(x)]
-        rows.append([sum(1 << k for k, ws in enumerate(_KIND_WORDS) if not ws.isdisjoint(line)) for line in words])
+        rows.append([0 if _ANY_KIND.isdisjoint(line) else sum(1 << k for k, ws in enumerate(_KIND_WORDS) if not ws.isdisjoint(line)) for line in words])
     return pd.Series(rows)
 
 
@@ -401,6 +428,7 @@ def _vocabulary(spaced: pd.Series) -> pd.DataFrame:
 FUNCTIONS = {
     "token_counts": (_tokens, "n_tokens long, n_distinct long, spread double, repeated double, parts long, part_var double"),
     "word_counts": (_words, "n_words long, n_code long"),
+    "prose_counts": (_prose, "prose_wc long, prose_chars double, prose_sents double, syllables double, complex_words double"),
     "sentence_lengths": (_lengths, "mean double, var double"),
     "vocabulary": (_vocabulary, "known array<string>, content long"),
     "sentence_kinds": (_kinds, "array<int>"),
