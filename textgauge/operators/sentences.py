@@ -36,6 +36,15 @@ def _places(sentences: list) -> dict[str, list[int]]:
     return where
 
 
+def _common(sentences) -> set[str]:
+    """Words of more than one sentence."""
+    seen, common = set(), set()
+    for words in sentences:
+        common |= seen & words
+        seen |= words
+    return common
+
+
 def _bits(at: list[int], n: int) -> int:
     row = np.zeros(n, bool)
     row[at] = True
@@ -108,14 +117,17 @@ def twins(sets: list, share: float = 0.7) -> int:
     groups = Counter(frozenset(s) for s in sets if len(s))
     found = sum(c * (c - 1) // 2 for c in groups.values())
     kinds = sorted(groups, key=len)
-    where = _places(kinds)
-    rarity = {w: (len(at), w) for w, at in where.items()}
+    common = _common(kinds)
+    where: dict[str, list[int]] = {}
     for a, words in enumerate(kinds):
         size = len(words)
         enough = math.floor(share * size)
         while enough <= share * size:
             enough += 1
-        probe = sorted(words, key=rarity.__getitem__)[: size - enough + 1]
+        if len(words & common) < enough:
+            continue
+        where = where or _places(kinds)
+        probe = sorted(words, key=lambda w: (len(where[w]), w))[: size - enough + 1]
         for b in {b for w in probe if where[w][-1] > a for b in where[w] if b > a}:
             if len(words & kinds[b]) >= enough:
                 found += groups[words] * groups[kinds[b]]
@@ -370,7 +382,11 @@ def _graphs(spaced: pd.Series) -> pd.DataFrame:
     shared, ranks = [], []
     texts = spaced.tolist()
     for part in _groups(texts):
-        content = [[_letters(line) for line in _cut(x)] for x in texts[part]]
+        content = []
+        for x in texts[part]:  # words of one sentence link nothing
+            words = [_letters(line) for line in _cut(x)]
+            common = _common(words)
+            content.append([w & common for w in words])
         shared += map(_shared, content)
         ranks.append(page_ranks(content))
     rank = pd.Series(np.concatenate(ranks)).astype(object)
