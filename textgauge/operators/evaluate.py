@@ -47,6 +47,8 @@ def step(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     putting each expression into all that refer to it, which would evaluate it again each time; it moves no rows."""
     if any(e.startswith("@") for e in columns.values()):
         return rows.withColumns({c: sentences.column(e) for c, e in columns.items()})
+    if all(re.fullmatch(r"\w+\.\w+", e) for e in columns.values()):
+        return rows.selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
     return rows.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(c) for c, e in columns.items())))))
 
 

@@ -9,6 +9,8 @@ phrase or pattern is looked for only where the text holds a word that any match
 
 from __future__ import annotations
 
+import re
+
 from textgauge.functions import lexicons as lex
 from textgauge.functions.dialect import WORD, Dialect
 
@@ -357,7 +359,12 @@ def stages(d: Dialect) -> list[dict[str, str]]:
             "topic_focus": f"CASE WHEN ns <= 1 THEN {n(.5)} ELSE coalesce(vectors.topic_focus, {n(.5)}) END",
             "centrality": f"CASE WHEN ns <= 1 THEN {n(.4)} ELSE {d.gauss('graph.rank_cv', .4, .3)} END",
         }
-    return [one, two, three, cut, compared, counted, four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
+    later = [four, five, six, {k: f"CAST({v} AS DOUBLE)" for k, v in scores.items()}]
+    if spark:  # fields become columns once: the optimizer loses some of those that generators take out of a struct
+        field = re.compile(rf"\b({'|'.join(compared)})\.(\w+)")
+        counted |= {f"{a}_{b}": f"{a}.{b}" for columns in later for e in columns.values() for a, b in field.findall(e)}
+        later = [{c: field.sub(r"\1_\2", e) for c, e in columns.items()} for columns in later]
+    return [one, two, three, cut, compared, counted, *later]
 
 
 def _over_doubled(pattern: str) -> str:
