@@ -198,6 +198,55 @@ def test_long_texts_in_slices(spark, libraries, monkeypatch):
     assert pieces.Pieces(PIECES).encode(texts) == libraries[2].encode(texts)
 
 
+def test_repeated_chunks_are_looked_up_once(libraries):
+    """The work in Python follows the distinct chunks of some texts and not all their places."""
+    from textgauge.llm import tokens
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    texts = ["The lamp, the river.\nThe lamp: a walk"] * 500
+    for path, chunks, library in ((BYTES, tokens.byte_level_chunks, libraries[0]), (WORDS, tokens.word_chunks, libraries[1])):
+        encoder, Counted.asked = tokens.Encoder(path, chunks), 0
+        encoder.index = Counted()
+        ids, sizes = encoder.encode(texts, 2)
+        assert Counted.asked < 100
+        want = library.encode(texts[0], add_special_tokens=False).ids + [2]
+        assert sizes.tolist() == [len(want)] * 500 and ids.tolist() == want * 500
+
+
+def test_odd_texts_are_told_from_plain_ones():
+    """The patterns in Arrow's dialect match what the splits by more than bytes look for."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from textgauge.llm import tokens
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    column = pa.array(chars, pa.string())
+    assert pc.match_substring_regex(column, tokens._ODD_BYTES).to_pylist() == [bool(tokens._ODD_SPACE.search(c)) for c in chars]
+    words = [bool(tokens._ODD_SPLIT.search(c) or tokens._COMBINING.search(c)) or c > "\x7f" and c.isspace() for c in chars]
+    assert pc.match_substring_regex(column, tokens._ODD_WORDS).to_pylist() == words
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_cut_at_bytes(words):
+    import pyarrow as pa
+
+    from textgauge.llm import tokens
+
+    split = tokens.word_chunks if words else tokens.byte_level_chunks
+    texts = ["", "Ab cé", " ", "x", "", "\n\n a  b\n", "日本 Ω", "  ", "end "]
+    for some in (texts, texts[::-1], [""], [], [" "]):
+        chunks, n = tokens.cut_at_bytes(pa.array(some, pa.string()), words)
+        assert chunks.to_pylist() == [c for x in some for c in split(x)]
+        assert n.tolist() == [len(split(x)) for x in some]
+
+
 def test_memory_of_a_batch_of_long_texts():
     """What encoding needs beside texts and ids is bounded: 40 MB of text of 6 million chunks."""
     import subprocess

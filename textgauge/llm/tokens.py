@@ -3,6 +3,7 @@
 Both tokenizer files split a text into pretokens that never reach over a run of white space, so a text's
 ids are the concatenated ids of its white-space chunks. Each Python worker keeps the ids of the chunks it
 has met (about ``KEEP_BYTES``; beyond, those met most often stay) and sends only unseen chunks to the library.
+Texts are cut at the bytes of an Arrow column, many at once, and a chunk is looked up once for all its places there.
 Texts with white space for which that split isn't safe go to the library whole. Long texts are cut into slices at
 places that no pretoken reaches over, and chunks are looked up some at a time, so memory doesn't follow a batch's texts.
 """
@@ -17,7 +18,7 @@ import numpy as np
 
 from textgauge.llm.common import on_change, texts_of
 
-#: Bytes of a worker's memo, about; chunks that are looked up at once; characters of a text that are cut up at once.
+#: Bytes of a worker's memo, about; chunks that are looked up at once where they come as lists; characters that are cut up at once.
 KEEP_BYTES = 72 << 20
 LOOK_UP = 100_000
 SLICE = 1 << 20
@@ -31,10 +32,17 @@ _PART = "<|endoftext|>"
 _ODD_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 _ODD_SPLIT = re.compile("[\x1c-\x1f\u180e\u200b\ufeff]")
 _COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
+#: The texts that ``byte_level_chunks`` and ``word_chunks`` take apart by more than bytes, in Arrow's dialect: with white space
+#: beyond the bytes of ``_SPACES``, or what either looks for.
+_WIDE_SPACE = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_ODD_BYTES = rf"[\t\x0b-\r{_WIDE_SPACE}]"
+_ODD_WORDS = rf"[{_WIDE_SPACE}\x{{300}}-\x{{36f}}\x{{1ab0}}-\x{{1aff}}\x{{1dc0}}-\x{{1dff}}\x{{20d0}}-\x{{20ff}}]|<\|"
+_SPACES = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Where a long text may be cut: between a visible ASCII character and the space or line end after it.
 _CUT = re.compile(r"(?<=[!-~])[ \n]")
-#: Chunks whose pretokens are plain: at most one line end, letters with at most one space before them, and marks.
-_PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Chunks whose pretokens are plain: at most one line end, letters with at most one space before them, and marks. In Arrow's dialect.
+_PLAIN = r"\A(?P<line>\n?)(?P<core> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)\z"
 
 
 def slices(text: str, cut: re.Pattern = _CUT) -> list[str]:
@@ -61,6 +69,29 @@ def word_chunks(text: str) -> list[str] | None:
     return text.split()
 
 
+def cut_at_bytes(column, words: bool):
+    """All chunks of a string column without odd texts, one after the other as a string array, and each text's number of chunks."""
+    import pyarrow as pa
+
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[: len(column) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[: at[-1]]
+    space = _SPACES[data]
+    first = space != words  # a chunk starts with white space, a word after it
+    first[1:] &= space[1:] != space[:-1]
+    own = at[:-1][np.diff(at) > 0]
+    first[own] = ~space[own] if words else True
+    n = np.diff(np.searchsorted(np.flatnonzero(first), at))
+    if words:
+        data, first = _LOWER[data[~space]], first[~space]
+    starts = np.append(np.flatnonzero(first), len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)), n
+
+
+def strings(column) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Memo:
     """The ids of chunks met so far, one after the other in an array."""
 
@@ -103,25 +134,46 @@ class Memo:
         self.flat.extend(ids)
         self.size += _ENTRY + (len(chunk) if isinstance(chunk, str) else 0) + 4 * len(ids)
 
+    def _put_all(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        """Chunks that all are new, and their ids one after the other."""
+        n, ends = len(self.start), len(self.flat) + np.cumsum(length)
+        self.index.update(zip(chunks, range(n, n + len(chunks))))
+        self.start.frombytes((ends - length).astype(np.int64).tobytes())
+        self.length.frombytes(length.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.size += _ENTRY * len(chunks) + sum(map(len, chunks)) + 4 * len(ids)
+
     def _known(self, chunk: str) -> array | None:
         i = self.index.get(chunk)
         return None if i is None else self.flat[self.start[i] : self.start[i] + self.length[i]]
 
-    def look_up(self, flat: list[str], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks, and how many there are before each place in ``last``."""
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        """Each chunk's number in the memo, where unseen ones are put."""
         which = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(which < 0)
         if len(missing):
             unseen = [flat[k] for k in missing.tolist()]
             self._add(list(dict.fromkeys(unseen)))
             which[missing] = [self.index[x] for x in unseen]
+        return which
+
+    def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of numbered chunks, and how many there are before each chunk and after the last."""
+        start, length = np.frombuffer(self.start, np.int64)[which], np.frombuffer(self.length, np.int64)[which]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])], ends
+
+    def _meet(self, which: np.ndarray) -> None:
         seen = np.bincount(which)
         if len(seen) > len(self.met):
             self.met = np.concatenate([self.met, np.zeros(2 * len(seen), np.int64)])
         self.met[: len(seen)] += seen
-        start, length = np.frombuffer(self.start, np.int64)[which], np.frombuffer(self.length, np.int64)[which]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+
+    def look_up(self, flat: list[str], last: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and how many there are before each place in ``last``."""
+        which = self._numbers(flat)
+        self._meet(which)
+        ids, ends = self._ids(which)
         return ids, ends[np.array(last, np.int64)]
 
     def encode_slices(self, rows) -> tuple[np.ndarray, np.ndarray]:
@@ -169,44 +221,51 @@ class Encoder(Memo):
         self.part = self.tokenizer.token_to_id(_PART)
         # the printable stand-ins of bytes that byte-level models are written in
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
+        self.shown = np.arange(256, dtype="<u4")
+        self.shown[np.setdiff1d(np.arange(256), shown)] = 256 + np.arange(256 - len(shown))
 
-    def _pretoken(self, text: str) -> list[int]:
-        """A pretoken goes straight to the library's model, for nothing before it changes such a one."""
+    def _pretokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pretokens without line ends, and each one's number of ids. They go straight to the library's model,
+        for nothing before it changes such ones."""
+        joined = "\n".join(texts)
         if self.chunks is word_chunks:
-            text = text.lower()
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
-
-    def _pretoken_known(self, text: str):
-        ids = self._known(text)
-        if ids is None:
-            ids = self._pretoken(text)
-            self._put(text, ids)
-        return ids
+            joined = joined.lower()
+        shown = self.shown[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokens = list(map(self.model.tokenize, shown.split(chr(self.shown[10])))) if texts else []
+        return np.fromiter((t.id for some in tokens for t in some), np.uint32), np.fromiter(map(len, tokens), np.int64, len(texts))
+
+    def _pretoken_numbers(self, coded) -> np.ndarray:
+        """The memo's numbers of a dictionary-encoded column of pretokens, where unseen ones are put."""
+        names = strings(coded.dictionary)
+        which = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(which < 0)
+        unseen = [names[i] for i in missing.tolist()]
+        which[missing] = len(self.start) + np.arange(len(unseen))
+        self._put_all(unseen, *self._pretokens(unseen))
+        return which[coded.indices.to_numpy()]
 
     def _add(self, new: list[str]) -> None:
         """Plain chunks are put together of their pretokens; the others go to the library many at a time, parted
         by a special token, which it takes out of a text before it looks at the rest."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        put = self._put
+        if "" not in self.index:
+            put("", [])
+        if "\n" not in self.index:
+            put("\n", [t.id for t in self.model.tokenize(chr(self.shown[10]))])
+        found = pc.extract_regex(pa.array(new, pa.string()), _PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        parts = found.filter(pa.array(plain))
+        numbers = np.stack([self._pretoken_numbers(parts.field(i).dictionary_encode()) for i in range(3)], axis=1)
+        joint = (numbers[:, ::2] != self.index[""]).any(axis=1)  # more than a pretoken
+        ids, ends = self._ids(numbers[joint].ravel())
+        self._put_all([new[i] for i in np.flatnonzero(plain)[joint].tolist()], ids, np.diff(ends[::3]))
         other, marked = [], []
-        match, known, put = _PLAIN.fullmatch, self._pretoken_known, self._put
-        for x in new:
-            if x in self.index:  # put meanwhile, as a part of another
-                continue
-            if m := match(x):
-                line, core, marks = m.groups()
-                ids = known(core)
-                if line or marks:
-                    ids = array("I", ids)
-                    if line:
-                        ids = array("I", known(line)) + ids
-                    if marks:
-                        ids.extend(known(marks))
-                    put(x, ids)
-            elif "<|" in x or "|>" in x:
-                marked.append(x)
-            else:
-                other.append(x)
+        for i in np.flatnonzero(~plain).tolist():
+            (marked if "<|" in new[i] or "|>" in new[i] else other).append(new[i])
+        other, marked = ([x for x in some if x not in self.index] for some in (other, marked))  # some were put as a part of another
         for i in range(0, len(other), 500):
             some = other[i : i + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([_PART.join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -216,17 +275,62 @@ class Encoder(Memo):
         for x in marked:
             put(x, self.tokenizer.encode(x, add_special_tokens=False).ids)
 
-    def _row(self, text: str, end: int):
-        for part in slices(text):
-            chunks = self.chunks(part)
-            yield chunks if chunks is not None else [part] if part else []
+    def _block(self, parts: list[str], closed: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts' parts, ``end`` after the ``closed`` ones, and each part's number of ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = self.chunks is word_chunks
+        column = pa.array(parts, pa.string())
+        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_WORDS if words else _ODD_BYTES).to_numpy(zero_copy_only=False))
+        if len(odd):
+            beside = set(odd.tolist())
+            column = pa.array(["" if i in beside else x for i, x in enumerate(parts)], pa.string())
+        chunks, n = cut_at_bytes(column, words)
+        coded = chunks.dictionary_encode()
+        which = self._numbers(strings(coded.dictionary))[coded.indices.to_numpy()]
+        if len(odd):
+            own = [got if (got := self.chunks(parts[i])) is not None else [parts[i]] for i in odd.tolist()]
+            more = np.array([len(x) for x in own])
+            which = np.insert(which, np.repeat(np.cumsum(n)[odd], more), self._numbers([c for x in own for c in x]))
+            n[odd] = more
         if end not in self.index:  # the end id is kept like a chunk, under its number
             self._put(end, [end])
-        yield (end,)
+        which = np.insert(which, np.cumsum(n)[closed], self.index[end])
+        self._meet(which)
+        ids, ends = self._ids(which)
+        if self.size > KEEP_BYTES:
+            self._trim()
+        return ids, np.diff(ends[np.cumsum(n + closed)], prepend=0)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, ``end`` after each text, and each text's number of ids."""
-        return self.encode_slices(self._row(x, end) for x in texts)
+        out, total = [], np.zeros(len(texts), np.int64)
+        parts: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            own = np.array(owner)
+            ids, n = self._block(parts, np.append(own[1:] != own[:-1], closes), end)
+            out.append(ids)
+            np.add.at(total, own, n)
+            parts.clear(), owner.clear()
+
+        for i, text in enumerate(texts):
+            closes = True  # the last part so far ends its text
+            for part in slices(text):
+                if parts and size + len(part) > SLICE:
+                    flush()
+                    size = 0
+                parts.append(part)
+                owner.append(i)
+                size += len(part)
+                closes = False
+        closes = True
+        if parts:
+            flush()
+        return np.concatenate(out) if out else np.empty(0, np.uint32), total
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
