@@ -233,6 +233,26 @@ def test_odd_texts_are_told_from_plain_ones():
     assert pc.match_substring_regex(column, tokens._ODD_WORDS).to_pylist() == words
 
 
+def test_plain_chunks_are_cut_into_pretokens(libraries):
+    """A word with and without marks is one entry of the memo."""
+    import pyarrow as pa
+
+    from textgauge.llm import tokens
+
+    text = "\nÉté, a: \n Àl!? \n, \n ,b x1. d×! (e) don't \n\nf; É\n"
+    cut = tokens.cut_at_bytes(pa.array([text, "g,", "", ",h"], pa.string()), False)
+    assert cut[0].to_pylist() == ["\n", "Été", ",", " a", ":", " \n Àl!?", " \n,", " \n ,b", " x1.", " d×!", " (e)", " don't", " \n\nf;", " É", "\n", "g", ",", ",h"]
+    assert cut[1].tolist() == [15, 2, 0, 1]
+    chunks, n = tokens.cut_at_bytes(pa.array(["Été, a: ×b c1! (D) E", "f;g h"], pa.string()), True)
+    assert chunks.to_pylist() == ["Été", ",", "a", ":", "×b", "c1!", "(d)", "e", "f;g", "h"] and n.tolist() == [8, 2]
+    texts = [f"stone{mark} lamp{mark}" for mark in ("", *"!,.:;?)")]
+    for path, split, library in ((BYTES, tokens.byte_level_chunks, libraries[0]), (WORDS, tokens.word_chunks, libraries[1])):
+        encoder = tokens.Encoder(path, split)
+        ids, _ = encoder.encode(texts, 2)
+        assert ids.tolist() == [i for x in texts for i in library.encode(x, add_special_tokens=False).ids + [2]]
+        assert len(encoder.index) == 2 + 7 + 1
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_cut_at_bytes(words):
     import pyarrow as pa

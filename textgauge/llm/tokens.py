@@ -3,7 +3,8 @@
 Both tokenizer files split a text into pretokens that never reach over a run of white space, so a text's
 ids are the concatenated ids of its white-space chunks. Each Python worker keeps the ids of the chunks it
 has met (about ``KEEP_BYTES``; beyond, those met most often stay) and sends only unseen chunks to the library.
-Texts are cut at the bytes of an Arrow column, many at once, and a chunk is looked up once for all its places there.
+Texts are cut at the bytes of an Arrow column, many at once, and a chunk is looked up once for all its places there;
+a chunk of a line end, letters and marks is cut into these, which are pretokens.
 Texts with white space for which that split isn't safe go to the library whole. Long texts are cut into slices at
 places that no pretoken reaches over, and chunks are looked up some at a time, so memory doesn't follow a batch's texts.
 """
@@ -41,8 +42,13 @@ _SPACES = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Where a long text may be cut: between a visible ASCII character and the space or line end after it.
 _CUT = re.compile(r"(?<=[!-~])[ \n]")
-#: Chunks whose pretokens are plain: at most one line end, letters with at most one space before them, and marks. In Arrow's dialect.
-_PLAIN = r"\A(?P<line>\n?)(?P<core> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)\z"
+#: Letters with at most one space before them, or marks: a pretoken each, whatever stands around a chunk of them. In Arrow's dialect.
+_PLAIN = r"\A(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-/:-@\[-`{-~]+)\z"
+#: Kinds of bytes in the order that they have in a plain chunk.
+_LINE, _BLANK, _LETTER, _MARK, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _bytes, _kind in ((b"\n", _LINE), (b" ", _BLANK), (bytes([*range(65, 91), *range(97, 123)]), _LETTER), (bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), _MARK)):
+    _KIND[[*_bytes]] = _kind
 
 
 def slices(text: str, cut: re.Pattern = _CUT) -> list[str]:
@@ -69,6 +75,29 @@ def word_chunks(text: str) -> list[str] | None:
     return text.split()
 
 
+def cut_at_pretokens(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where chunks start, and within chunks of at most one line end, at most one space, letters and marks these."""
+    kind = _KIND[data]
+    latin = np.flatnonzero(data == 0xC3)  # the first byte of À to ÿ, × and ÷
+    latin = latin[~np.isin(data[latin + 1], (0x97, 0xB7))]
+    kind[latin] = kind[latin + 1] = _LETTER
+    now, before = kind[1:], kind[:-1]
+    inside = ~first[1:]
+    bad = kind == _OTHER
+    bad[1:] |= inside & ((now < before) | (now == before) & (now < _LETTER))
+    cut = 1 + np.flatnonzero(inside & (now > before) & ((before == _LINE) | (before == _LETTER)))
+    # no letter after a line end and a space
+    ahead = np.minimum(cut + 1, len(data) - 1)
+    cut = cut[(kind[cut] != _BLANK) | (ahead > cut) & ~first[ahead] & (kind[ahead] == _LETTER)]
+    # a line end before marks alone
+    cut = cut[(kind[cut] != _MARK) | (kind[cut - 1] == _LETTER)]
+    starts = np.flatnonzero(first)
+    rough = np.zeros(len(starts), bool)
+    rough[np.searchsorted(starts, np.flatnonzero(bad), side="right") - 1] = True
+    cut = cut[~rough[np.searchsorted(starts, cut, side="right") - 1]]
+    return np.insert(starts, np.searchsorted(starts, cut), cut)
+
+
 def cut_at_bytes(column, words: bool):
     """All chunks of a string column without odd texts, one after the other as a string array, and each text's number of chunks."""
     import pyarrow as pa
@@ -81,11 +110,12 @@ def cut_at_bytes(column, words: bool):
     first[1:] &= space[1:] != space[:-1]
     own = at[:-1][np.diff(at) > 0]
     first[own] = ~space[own] if words else True
-    n = np.diff(np.searchsorted(np.flatnonzero(first), at))
     if words:
+        at = np.append(0, np.cumsum(~space, dtype=np.int32))[at]
         data, first = _LOWER[data[~space]], first[~space]
-    starts = np.append(np.flatnonzero(first), len(data)).astype(np.int32)
-    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)), n
+    starts = cut_at_pretokens(data, first) if len(data) else np.empty(0, np.int64)
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), np.diff(np.searchsorted(starts, at))
 
 
 def strings(column) -> list[str]:
@@ -231,41 +261,25 @@ class Encoder(Memo):
         if self.chunks is word_chunks:
             joined = joined.lower()
         shown = self.shown[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
-        tokens = list(map(self.model.tokenize, shown.split(chr(self.shown[10])))) if texts else []
-        return np.fromiter((t.id for some in tokens for t in some), np.uint32), np.fromiter(map(len, tokens), np.int64, len(texts))
-
-    def _pretoken_numbers(self, coded) -> np.ndarray:
-        """The memo's numbers of a dictionary-encoded column of pretokens, where unseen ones are put."""
-        names = strings(coded.dictionary)
-        which = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
-        missing = np.flatnonzero(which < 0)
-        unseen = [names[i] for i in missing.tolist()]
-        which[missing] = len(self.start) + np.arange(len(unseen))
-        self._put_all(unseen, *self._pretokens(unseen))
-        return which[coded.indices.to_numpy()]
+        ids, length = array("I"), array("q")
+        for some in map(self.model.tokenize, shown.split(chr(self.shown[10])) if texts else ()):
+            length.append(len(some))
+            ids.extend([t.id for t in some])
+        return np.array(ids, np.uint32), np.array(length, np.int64)
 
     def _add(self, new: list[str]) -> None:
-        """Plain chunks are put together of their pretokens; the others go to the library many at a time, parted
+        """Pretokens go to the model; the other chunks go to the library many at a time, parted
         by a special token, which it takes out of a text before it looks at the rest."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         put = self._put
-        if "" not in self.index:
-            put("", [])
-        if "\n" not in self.index:
-            put("\n", [t.id for t in self.model.tokenize(chr(self.shown[10]))])
-        found = pc.extract_regex(pa.array(new, pa.string()), _PLAIN)
-        plain = found.is_valid().to_numpy(zero_copy_only=False)
-        parts = found.filter(pa.array(plain))
-        numbers = np.stack([self._pretoken_numbers(parts.field(i).dictionary_encode()) for i in range(3)], axis=1)
-        joint = (numbers[:, ::2] != self.index[""]).any(axis=1)  # more than a pretoken
-        ids, ends = self._ids(numbers[joint].ravel())
-        self._put_all([new[i] for i in np.flatnonzero(plain)[joint].tolist()], ids, np.diff(ends[::3]))
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), _PLAIN).to_numpy(zero_copy_only=False)
+        some = [new[i] for i in np.flatnonzero(plain).tolist()]
+        self._put_all(some, *self._pretokens(some))
         other, marked = [], []
         for i in np.flatnonzero(~plain).tolist():
             (marked if "<|" in new[i] or "|>" in new[i] else other).append(new[i])
-        other, marked = ([x for x in some if x not in self.index] for some in (other, marked))  # some were put as a part of another
         for i in range(0, len(other), 500):
             some = other[i : i + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([_PART.join(some)], add_special_tokens=False)[0].ids, np.uint32)
