@@ -286,6 +286,49 @@ def plain_model(texts, order):
     return p
 
 
+def test_block_functions_give_memory_back(spark, monkeypatch, tmp_path):
+    """Idle workers count in an executor's memory, so what a block needed must not stay with the worker."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from pyspark.sql.group import GroupedData
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    functions = []
+    for kind in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInArrow", lambda self, f, schema, old=kind.applyInArrow: functions.append(f) or old(self, f, schema))
+    docs = spark.createDataFrame([(1, "en", "a text")], "doc_id long, lang string, text string")
+    assert kneser_ney.perplexities(docs, spark.createDataFrame([(1,)], "doc_id long")).count() == 1
+    (tmp_path / "functions").write_bytes(cloudpickle.dumps(functions))
+    code = f"""
+import pickle, random, re
+import numpy as np, pyarrow as pa
+from textgauge.llm import kneser_ney
+from textgauge.llm.common import trim
+distinct, sums = pickle.load(open({str(tmp_path / "functions")!r}, "rb"))
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+rng = random.Random(7)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(20_000)]
+texts = [" ".join(rng.choices(words, k=560)) for _ in range(5000)]
+n = len(texts)
+columns = [np.zeros(n, np.int32), range(n), range(n), ["en"] * n, texts]
+blobs = pa.Table.from_batches(list(kneser_ney._blobs([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("biklt"))])))
+del texts, columns
+trim()
+before = mb()
+g = distinct([pa.scalar(0)], blobs)
+print(mb() - before)
+right = g.append_column("logp", pa.array(np.full(len(g), -1.0, np.float32)))
+out = sums(blobs, right)
+print(mb() - before)
+assert out.num_rows == n
+"""
+    held = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.split()
+    assert len(held) == 2 and max(map(int, held)) < 60, held
+
+
 def test_perplexities_equal_plain_model(spark):
     docs = messy(spark)
     trusted = [i for i in range(0, 60, 2)]

@@ -69,6 +69,18 @@ def tidy(work: str, run):
     return task
 
 
+def tidy_group(work: str, run):
+    """``run`` of two arguments for ``applyInArrow``, with the worker's memory given back before other work and after each group."""
+
+    def group(first, second):
+        free(work)
+        out = run(first, second)
+        trim()  # what ``run`` held is free once it has returned
+        return out
+
+    return group
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.llm.common import fold, language, saved, text_key, texts_of, tidy
+from textgauge.llm.common import fold, language, saved, text_key, texts_of, tidy, tidy_group
 
 ORDER = 5
 BLOCK = 16 << 20
@@ -246,9 +246,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", text_key("text").alias("key"), "lang", "text")
     lists = ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
     blocks = dealt.mapInArrow(tidy("kn", _blobs), f"block int, {lists}, data binary")
-    some = blocks.groupBy("block").applyInArrow(_distinct(order), "block int, g long")
+    some = blocks.groupBy("block").applyInArrow(tidy_group("kn", _distinct(order)), "block int, g long")
     needed = some.join(probabilities, "g").select("block", "g", "logp")
-    scored = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_sums(order), "row long, text_key long, lang string, n_bytes long, perplexity double")
+    scored = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(tidy_group("kn", _sums(order)), "row long, text_key long, lang string, n_bytes long, perplexity double")
     return scored.withColumnRenamed("row", "doc_id")
 
 
